@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,16 +20,44 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=8, least_items=2)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.vector_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_binary": op2_token_binary,
+        "op3_simhash": op3_simhash,
+        "op7_decontamination": op7_decontamination,
         "op8_token_counts": op8_token_counts,
+        "op9_secrets": op9_secrets,
+        "op10_vector_search": op10_vector_search,
     }
 
 
