@@ -27,24 +27,26 @@ CACHE_WORDS = 700_000
 _workers: dict[int, Words] = {}
 
 
-class Words:
-    """A tokeniser of the tokenizers library with a cache of the ids of words."""
+class WordIds:
+    """A bounded cache of the ids of words, in arrays that whole columns are gathered from."""
 
-    def __init__(self, data: bytes):
-        from tokenizers import Tokenizer
+    #: Closing marks that always stand alone after letters.
+    marks: tuple[str, ...] = ()
+    #: RE2's pattern of texts that can't be cut into words by ``split_words``.
+    odd = ""
+    #: Whether a text's first word has no space before it.
+    glue_first = True
 
-        self.tokenizer = Tokenizer.from_buffer(data)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = "|".join([ODD_SPACE, *(pc_quote(t) for t in added)])
+    def __init__(self) -> None:
         self.clear()
 
-    @staticmethod
-    def of(data: bytes) -> Words:
-        """One for each worker process and vocabulary."""
-        key = hash(data)
-        if key not in _workers:
-            _workers[key] = Words(data)
-        return _workers[key]
+    def encode(self, strings: list[str]) -> list[list[int]]:
+        """Ids of whole texts."""
+        raise NotImplementedError
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words."""
+        raise NotImplementedError
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
@@ -53,23 +55,6 @@ class Words:
         self.ids = np.zeros(4096, np.uint32)
         self.used = 0
 
-    def encode(self, strings: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of words. Letters with or without one space before are one pre-token, so they go to the
-        library's merges directly, written in the byte alphabet; the rest takes the whole path."""
-        merge, letters, rest = self.tokenizer.model.tokenize, [], []
-        for k, w in enumerate(words):
-            (letters if (w[1:] if w[:1] == " " else w).isalpha() else rest).append(k)
-        ids: list[list[int]] = [[]] * len(words)
-        for k in letters:
-            w = words[k]
-            ids[k] = [t.id for t in merge(w.replace(" ", SPACE) if w.isascii() else w.encode().decode("latin1").translate(ALPHABET))]
-        for k, own in zip(rest, self.encode([words[k] for k in rest]), strict=True):
-            ids[k] = own
-        return ids
-
     def _add(self, words: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
         n = len(self.slot)
         while len(self.start) < n + len(words):
@@ -91,9 +76,9 @@ class Words:
             self.clear()
             new = words
         if new:
-            marked = [w for w in new if is_marked(w)]
+            marked = [w for w in new if self.marks and is_marked(w)]
             base = [w[:-1] for w in marked]
-            whole = [w for w in dict.fromkeys([*MARKS, *(w for w in new if not is_marked(w)), *base]) if w not in self.slot]
+            whole = [w for w in dict.fromkeys([*self.marks, *(w for w in new if not (self.marks and is_marked(w))), *base]) if w not in self.slot]
             ids = self.encode_words(whole)
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             self._add(whole, lengths, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
@@ -104,23 +89,6 @@ class Words:
             self._add(marked, lengths.sum(1), ragged_gather(self.ids, self.start[two].ravel(), lengths.ravel()))
         return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
 
-    def split(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """For plain texts: offsets by text, the key of each word, and the word of each key that occurs."""
-        spaced = pc.replace_substring(column, "\n", " \n ")
-        offsets, values = list_parts(pc.split_pattern(spaced, " "))
-        coded = values.dictionary_encode()
-        codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-        feed = words.index("\n") if "\n" in words else -1
-        glued = codes == feed
-        glued[1:] |= glued[:-1].copy()
-        glued[offsets[:-1]] = True
-        keys = codes + glued * len(words)
-        occurs = np.flatnonzero(np.bincount(keys, minlength=2 * len(words)))
-        dense = np.zeros(2 * len(words), np.int64)
-        dense[occurs] = np.arange(len(occurs))
-        n = len(words)
-        return offsets, dense[keys], [words[k - n] if k >= n else " " + words[k] for k in occurs.tolist()]
-
     def plain(self, column: pa.Array) -> np.ndarray:
         return ~pc.match_substring_regex(column, self.odd).to_numpy(zero_copy_only=False)
 
@@ -143,13 +111,69 @@ class Words:
     def _encode_plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(column) == 0:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        offsets, keys, words = self.split(column)
+        offsets, keys, words = split_words(column, self.glue_first)
         slots = self.slots(words)
         lengths = self.length[slots][keys].astype(np.int64)
         ids = ragged_gather(self.ids, self.start[slots][keys], lengths)
         return ids, np.add.reduceat(lengths, offsets[:-1])
 
 
+class Words(WordIds):
+    """A byte-level tokeniser of the tokenizers library."""
+
+    def __init__(self, data: bytes):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_buffer(data)
+        self.marks = MARKS
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([ODD_SPACE, *(pc_quote(t) for t in added)])
+
+    @staticmethod
+    def of(data: bytes) -> Words:
+        """One for each worker process and vocabulary."""
+        key = hash(data)
+        if key not in _workers:
+            _workers[key] = Words(data)
+        return _workers[key]
+
+    def encode(self, strings: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words. Letters with or without one space before are one pre-token, so they go to the
+        library's merges directly, written in the byte alphabet; the rest takes the whole path."""
+        merge, letters, rest = self.tokenizer.model.tokenize, [], []
+        for k, w in enumerate(words):
+            (letters if (w[1:] if w[:1] == " " else w).isalpha() else rest).append(k)
+        ids: list[list[int]] = [[]] * len(words)
+        for k in letters:
+            w = words[k]
+            ids[k] = [t.id for t in merge(w.replace(" ", SPACE) if w.isascii() else w.encode().decode("latin1").translate(ALPHABET))]
+        for k, own in zip(rest, self.encode([words[k] for k in rest]), strict=True):
+            ids[k] = own
+        return ids
+
+
+def split_words(column: pa.Array, glue_first: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """For plain texts: offsets by text, the key of each word, and the word of each key that occurs."""
+    spaced = pc.replace_substring(column, "\n", " \n ")
+    offsets, values = list_parts(pc.split_pattern(spaced, " "))
+    coded = values.dictionary_encode()
+    codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    feed = words.index("\n") if "\n" in words else -1
+    glued = codes == feed
+    glued[1:] |= glued[:-1].copy()
+    glued[offsets[:-1]] = glue_first
+    keys = codes + glued * len(words)
+    occurs = np.flatnonzero(np.bincount(keys, minlength=2 * len(words)))
+    dense = np.zeros(2 * len(words), np.int64)
+    dense[occurs] = np.arange(len(occurs))
+    n = len(words)
+    return offsets, dense[keys], [words[k - n] if k >= n else " " + words[k] for k in occurs.tolist()]
+
+
 def byte_alphabet() -> dict[int, str]:
     """The byte-level alphabet: bytes that print in Latin-1 stand for themselves, the others for the
     characters from 256 on, in order."""

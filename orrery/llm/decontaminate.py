@@ -97,45 +97,30 @@ def row(n_words: int, spans: list[tuple[int, int]], items: set[str], least: int)
     return n_words, sum(b - a for a, b in spans), len(items), digest, len(items) >= least
 
 
-def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, size: int = 8, least_items: int = 2, broadcast_bytes: int = 16 << 20,
-    doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-) -> DataFrame:
-    """Words of each document that lie in a window of a benchmark item, and the items with such windows.
+SCHEMA_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
 
-    Null texts have no words. A null item_id counts as the item "null"; repeated item rows count once
-    for each item_id. Rows with equal doc_id are searched each. An empty benchmark hits nothing.
-    The benchmark's text is summed first: up to ``broadcast_bytes`` it is searched in one pass; a larger
-    one is dealt by hash into slices of about that size, each searched in a pass of its own over the
-    documents, and the hits of a text are joined over the slices.
-    """
-    spark = docs.sparkSession
-    narrow = texts(docs, doc_id, text=text).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    bench = texts(benchmark, item_id, text=text).select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_slices = total // broadcast_bytes + 1
 
-    def tables_of(k: int):
-        part = bench if n_slices == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_slices)) == k)
-        return spark.sparkContext.broadcast([(r.item, r.text.encode()) for r in part.toLocalIterator()])
+def _batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(KINDS)
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, KINDS, strict=True))], names=SCHEMA_NAMES)
 
-    if n_slices == 1:
-        shipped = tables_of(0)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = matchers(shipped.value, size)
-            for batch in batches:
-                rows = []
-                for x in batch.column(1):
-                    words = words_of(x.as_buffer().to_pybytes())
-                    rows.append(row(len(words), *hits(words, tables), least_items))
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=SCHEMA_NAMES)
+def _slices(benchmark: DataFrame, broadcast_bytes: int, text: str, item_id: str) -> tuple[int, Iterator]:
+    """How many slices the benchmark is dealt into by a hash, each of about ``broadcast_bytes`` of text, and their broadcasts."""
+    bench = texts(benchmark, item_id, text=text).select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
+    n = (bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // broadcast_bytes + 1
 
-        return narrow.mapInArrow(run, SCHEMA)
+    def slices():
+        for k in range(n):
+            part = bench if n == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+            yield benchmark.sparkSession.sparkContext.broadcast([(r.item, r.text.encode()) for r in part.toLocalIterator()])
 
-    key = F.struct(F.xxhash64("text").alias("a"), F.sha2("text", 256).alias("b"))
+    return n, slices()
+
+
+def _found(keyed: DataFrame, slices: Iterator, size: int) -> DataFrame:
+    """Hit ranges and items of each text with any: (key, spans, items), joined over all slices."""
 
     def search(shipped):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,15 +133,43 @@ def decontaminate(
                         keys.append(k.as_py())
                         spans.append([f"{a}:{b}" for a, b in s])
                         items.append(sorted(i))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(spans, pa.list_(pa.string())), pa.array(items, pa.list_(pa.string()))], names=["key", "spans", "items"])
+                kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((keys, spans, items), kinds, strict=True)], names=["key", "spans", "items"])
 
-        return narrow.select(key["b"].alias("key"), "text").mapInArrow(run, "key string, spans array<string>, items array<string>")
+        return keyed.select("key", "text").mapInArrow(run, "key string, spans array<string>, items array<string>")
 
-    found = search(tables_of(0))
-    for k in range(1, n_slices):
-        found = found.unionByName(search(tables_of(k)))
+    parts = [search(x) for x in slices]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
     # Copies of a text repeat the same sets, which set aggregation folds before the shuffle.
-    found = found.groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
+    return found.groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, size: int = 8, least_items: int = 2, broadcast_bytes: int = 16 << 20,
+    doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+) -> DataFrame:
+    """Words of each document that lie in a window of a benchmark item, and the items with such windows.
+
+    Null texts have no words. A null item_id counts as the item "null"; repeated item rows count once
+    for each item_id. Rows with equal doc_id are searched each. An empty benchmark hits nothing.
+    The benchmark's text is summed first: up to ``broadcast_bytes`` it is searched in one pass without a
+    shuffle; a larger one is dealt by hash into slices of about that size, each searched in a pass of its
+    own over the documents, and the hits of a text are joined over the slices.
+    """
+    narrow = texts(docs, doc_id, text=text).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    n_slices, slices = _slices(benchmark, broadcast_bytes, text, item_id)
+    if n_slices == 1:
+        shipped = next(slices)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = matchers(shipped.value, size)
+            for batch in batches:
+                words = (words_of(x.as_buffer().to_pybytes()) for x in batch.column(1))
+                yield _batch(batch.column(0), [row(len(w), *hits(w, tables), least_items) for w in words])
+
+        return narrow.mapInArrow(run, SCHEMA)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,12 +177,30 @@ def decontaminate(
             for x, s, i in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 spans = merged([tuple(map(int, y.split(":"))) for y in s or []])
                 rows.append(row(len(words_of(x.as_buffer().to_pybytes())), spans, set(i or []), least_items))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=SCHEMA_NAMES)
+            yield _batch(batch.column(0), rows)
 
-    joined = narrow.withColumn("key", key["b"]).join(found, "key", "left").select("doc_id", "text", "spans", "items")
+    keyed = narrow.withColumn("key", F.sha2("text", 256))
+    joined = keyed.join(_found(keyed, slices, size), "key", "left").select("doc_id", "text", "spans", "items")
     return joined.mapInArrow(finish, SCHEMA)
 
 
-SCHEMA_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, size: int = 8, least_items: int = 1, broadcast_bytes: int = 16 << 20, text: str = "text", item_id: str = "item_id"
+) -> DataFrame:
+    """The rows, with all their columns, in which windows of fewer than ``least_items`` items occur."""
+    n_slices, slices = _slices(benchmark, broadcast_bytes, text, item_id)
+    if n_slices == 1:
+        shipped = next(slices)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = matchers(shipped.value, size)
+            for batch in batches:
+                column = batch.column(batch.schema.get_field_index(text))
+                found = [len(hits(words_of(x.as_buffer().to_pybytes()), tables)[1]) if x.is_valid else 0 for x in column]
+                yield batch.filter(pa.array([n < least_items for n in found], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+    key = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
+    keyed = docs.select(key.alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    bad = _found(keyed, slices, size).where(F.size("items") >= least_items).select(F.col("key").alias("__key"))
+    return docs.join(bad, key == F.col("__key"), "left_anti")

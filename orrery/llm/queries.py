@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.pieces import encode_pieces
+
+    found = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), "doc_id")
+    return found.select("doc_id", "n_ids", "ids", "round_trip")
+
+
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.token_files import encode_to_files, read_token_files
 
@@ -26,6 +33,48 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+#: Records between two whose copy is damaged, in the drill of the audit.
+DRILL = 500
+
+
+def damage(name: str, data: bytes) -> bytes:
+    """One bit of every DRILL-th record of a file flipped, from the first on."""
+    from orrery.llm.warc import members
+
+    changed = bytearray(data)
+    for k, (at, n, _) in enumerate(members(data)):
+        if k % DRILL == 0:
+            changed[at + n // 2] ^= 1
+    return bytes(changed)
+
+
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as WARC, copies them with planted damage, and audits the copy."""
+    from orrery.llm import warc
+
+    files = warc.files_of(spark, warc.write_warc(table(spark, sf_dir, "pages")))
+    return warc.audit(files, warc.copied_files(spark, warc.copy_replica(files, damage)))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.decontaminate import decontaminate
 
@@ -52,12 +101,17 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_token_binary": op2_token_binary,
         "op3_simhash": op3_simhash,
+        "op4_html_extraction": op4_html_extraction,
+        "op5_quality": op5_quality,
+        "op6_warc_fixity": op6_warc_fixity,
         "op7_decontamination": op7_decontamination,
         "op8_token_counts": op8_token_counts,
         "op9_secrets": op9_secrets,
         "op10_vector_search": op10_vector_search,
+        "pipeline": pipeline,
     }
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from orrery.llm.byte_bpe import CACHE_WORDS, Words, is_marked
+from orrery.llm.byte_bpe import CACHE_WORDS, Words, is_marked, split_words
 from orrery.llm.common import ship, slices_by_bytes, texts
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
@@ -62,7 +62,7 @@ class Counter:
         counts = np.zeros(len(column), np.int64)
         easy = column.filter(pa.array(plain))
         if len(easy):
-            offsets, keys, words = self.words.split(easy)
+            offsets, keys, words = split_words(easy, True)
             counts[plain] = np.add.reduceat(self.count(words)[keys], offsets[:-1])
         if not plain.all():
             counts[~plain] = [len(x) for x in self.words.encode(column.filter(pa.array(~plain)).to_pylist())]
