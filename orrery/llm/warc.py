@@ -1,10 +1,11 @@
 """WARC files with a Merkle fixity audit.
 
 Files hold one gzip member for each record, as is usual for WARC, and one line feed at their end, which
-Spark's text writer adds. A manifest lists each record's byte range. A replica's tree has one leaf for
-each range (the hash of its stored bytes with the range), inner nodes over FAN ordered neighbours up to
-the file's root, and above the files one node for each of 256 buckets of file names and the root.
-Replicas are compared from the root; only the children of nodes that differ are compared further.
+Spark's text writer adds. A replica's tree has one leaf for each record's byte range (the hash of its
+stored bytes with the range), inner nodes over FAN ordered neighbours up to the file's root, and above the
+files one node for each of 256 buckets of file names and the root. Replicas are compared from the root;
+only the children of nodes that differ are compared further. Each replica is read once, where its files
+are: where a member doesn't unpack, its range ends where the next one that does begins.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 from orrery.llm.common import checkpoint, scratch
 
 FAN = 16
+#: Fixed value: how a deflated gzip member begins.
+MAGIC = b"\x1f\x8b\x08"
 #: Compressed bytes after which a file is closed.
 FILE_BYTES = 8 << 20
-MANIFEST = "file string, record bigint, offset bigint, length bigint, page_id bigint, url string"
-NODES = "file string, level int, idx bigint, begin bigint, end bigint, hash string"
+NODES = "file string, level int, idx bigint, begin bigint, end bigint, hash string, page_id bigint, url string"
 _BREAKS = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -46,19 +48,35 @@ def member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of each gzip member."""
-    view, at = memoryview(data), 0
-    while at < len(data) and data[at] == 0x1F:
-        unpacker, begin, parts = zlib.decompressobj(31), at, []
+def unpack_member(view: memoryview, begin: int) -> tuple[int, bytes] | None:
+    """Where the member at a byte ends, and its content; None if it is damaged."""
+    unpacker, at, parts = zlib.decompressobj(31), begin, []
+    try:
         while not unpacker.eof:
             chunk = view[at : at + 4096]
             if not chunk:
-                raise ValueError(f"the member at byte {begin} is cut short")
+                return None
             parts.append(unpacker.decompress(chunk))
             at += len(chunk)
-        at -= len(unpacker.unused_data)
-        yield begin, at - begin, b"".join(parts)
+    except zlib.error:
+        return None
+    return at - len(unpacker.unused_data), b"".join(parts)
+
+
+def members(data: bytes) -> Iterator[tuple[int, int, bytes | None]]:
+    """(offset, length, content) of each member; content is None where it is damaged."""
+    view, at, end = memoryview(data), 0, len(data) - data.endswith(b"\n")
+    while at < end:
+        found = unpack_member(view, at)
+        if found:
+            yield at, found[0] - at, found[1]
+            at = found[0]
+            continue
+        begin, at = at, at + 1
+        while (at := data.find(MAGIC, at, end)) >= 0 and not unpack_member(view, at):
+            at += 1
+        at = end if at < 0 else at
+        yield begin, at - begin, None
 
 
 def read_record(content: bytes) -> tuple[int | None, str, bytes]:
@@ -108,20 +126,6 @@ def files_of(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select(file_name(F.col("path")).alias("file"), "content")
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    """The byte range, page and address of every record of (file, content), in the files' order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(name, k, at, n, *read_record(x)[:2]) for k, (at, n, x) in enumerate(members(content.as_py()))]
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
-
-    return files.mapInArrow(run, MANIFEST)
-
-
 def leaf(data: bytes, begin: int, end: int) -> bytes:
     return hashlib.sha256(b"\0" + struct.pack("<QQ", begin, end) + data[begin:end]).digest()
 
@@ -137,21 +141,25 @@ def tree(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int, int
     return out
 
 
-def replica_nodes(files: DataFrame, records: DataFrame) -> DataFrame:
-    """All nodes within the files of a replica, over the manifest's ranges; a file is some megabytes, as its ranges are few."""
-    ranges = records.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("record", "offset", "length"))).alias("ranges"))
+def replica_nodes(files: DataFrame) -> DataFrame:
+    """All nodes within the files of a replica; leaves have their record's page and address, if it isn't damaged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                found = tree(content.as_py(), [(r["offset"], r["offset"] + r["length"]) for r in own])
-                level, idx, begin, end, digest = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(found)), pa.array(level, pa.int32()), pa.array(idx, pa.int64()), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array([d.hex() for d in digest])],
-                    names=[x.split()[0] for x in NODES.split(", ")],
-                )
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = content.as_py()
+                ranges, pages = [], []
+                for at, n, record_data in members(data):
+                    ranges.append((at, at + n))
+                    pages.append(read_record(record_data)[:2] if record_data else (None, None))
+                found = tree(data, ranges)
+                pages += [(None, None)] * (len(found) - len(pages))
+                columns = [[name] * len(found), *(list(c) for c in zip(*found, strict=True)), *(list(c) for c in zip(*pages, strict=True))] if found else [[]] * 8
+                columns[5] = [d.hex() for d in columns[5]]
+                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in NODES.split(", ")])
 
-    return files.join(ranges, "file").select("file", "content", "ranges").mapInArrow(run, NODES)
+    return files.mapInArrow(run, NODES)
 
 
 def _upper(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -211,16 +219,15 @@ def copied_files(spark: SparkSession, folder: str) -> DataFrame:
     return read.select(F.regexp_extract("path", r"file=([^/]+)/", 1).alias("file"), "content")
 
 
-def audit(files: DataFrame, replica: DataFrame, records: DataFrame | None = None) -> DataFrame:
+def audit(files: DataFrame, replica: DataFrame) -> DataFrame:
     """Every record with its range, page, leaf hash, the archive's root, and whether the replica's bytes differ.
 
-    ``files`` and ``replica`` are (file, content); ``records`` is the manifest, by default read from ``files``.
-    Records of a file that the replica lacks are damaged; files that only the replica has aren't looked at.
+    ``files`` and ``replica`` are (file, content). Records of a file that the replica lacks are damaged;
+    files that only the replica has aren't looked at. Archives without records give no rows.
     """
-    records = checkpoint(records if records is not None else manifest(files))
-    ours, theirs = checkpoint(replica_nodes(files, records)), checkpoint(replica_nodes(replica, records))
+    ours, theirs = checkpoint(replica_nodes(files)), checkpoint(replica_nodes(replica).drop("page_id", "url"))
     root = _upper(ours)[2].first()["hash"]
     bad = damaged(ours, theirs).withColumn("damaged", F.lit(True))
-    leaves = ours.where("level = 0").select("file", F.col("idx").alias("record"), F.col("hash").alias("leaf_sha256"))
-    joined = records.join(leaves, ["file", "record"]).join(bad, ["file", "record"], "left")
+    leaves = ours.where("level = 0").select("file", F.col("idx").alias("record"), F.col("begin").alias("offset"), (F.col("end") - F.col("begin")).alias("length"), "page_id", "url", F.col("hash").alias("leaf_sha256"))
+    joined = leaves.join(bad, ["file", "record"], "left")
     return joined.select("file", "record", "offset", "length", "page_id", "url", "leaf_sha256", F.lit(root).alias("root_sha256"), F.coalesce("damaged", F.lit(False)).alias("damaged"))
