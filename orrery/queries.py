@@ -110,6 +110,8 @@ SQL: dict[str, tuple[str, str | None]] = {
     "casts": ("SELECT CAST(l_linenumber AS DOUBLE) AS a, CAST(l_quantity AS BIGINT) AS b, CAST(l_linenumber > 3 AS INT) AS c, CAST(CAST(l_tax AS DECIMAL(10,2)) AS DOUBLE) AS d FROM lineitem WHERE l_quantity = 7", None),
     "safe_cast": ("SELECT SAFE_CAST(c_mktsegment AS INT) AS a, SAFE_CAST('12' AS INT) AS b, COUNT(*) AS n FROM customer GROUP BY SAFE_CAST(c_mktsegment AS INT)", "SELECT TRY_CAST(c_mktsegment AS INT) AS a, TRY_CAST('12' AS INT) AS b, COUNT(*) AS n FROM customer GROUP BY TRY_CAST(c_mktsegment AS INT)"),
     "cast_format": ("SELECT DISTINCT CAST(o_orderdate AS STRING FORMAT 'YYYY/MM/DD HH24:MI') AS s, CAST(' 2024-03-05 ' AS DATE FORMAT 'YYYY-MM-DD') AS d FROM orders", "SELECT DISTINCT strftime(o_orderdate, '%Y/%m/%d %H:%M') AS s, DATE '2024-03-05' AS d FROM orders"),
+    "integer_division": ("SELECT l_orderkey, l_linenumber, l_orderkey / l_linenumber AS a, l_orderkey / (l_linenumber - 2) AS b, -l_orderkey * 3 / 2 AS c, l_orderkey % (l_linenumber - 1) AS d FROM lineitem", "SELECT l_orderkey, l_linenumber, l_orderkey // l_linenumber AS a, CAST(trunc(l_orderkey / nullif(l_linenumber - 2, 0)) AS BIGINT) AS b, CAST(trunc(-l_orderkey * 3 / 2) AS BIGINT) AS c, l_orderkey % nullif(CAST(l_linenumber - 1 AS BIGINT), 0) AS d FROM lineitem"),
+    "average_by_division": ("SELECT l_returnflag, SUM(l_linenumber) / COUNT(*) AS a, ROUND(SUM(l_quantity) / COUNT(*), 6) AS b FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(SUM(l_linenumber) // COUNT(*) AS BIGINT) AS a, ROUND(SUM(l_quantity) / COUNT(*), 6) AS b FROM lineitem GROUP BY l_returnflag"),
     "bitwise": ("SELECT l_orderkey, l_linenumber, l_orderkey & 7 AS a, l_orderkey | 8 AS b FROM lineitem", None),
     "decimal_arithmetic": ("SELECT l_orderkey, l_linenumber, CAST(CAST(l_tax AS DECIMAL(10,2)) + CAST(l_discount AS DECIMAL(10,2)) * 2 AS DOUBLE) AS a, CAST(l_tax AS DECIMAL(10,2)) < CAST(l_discount AS DECIMAL(10,2)) AS b FROM lineitem", None),
     "strings_case": ("SELECT p_partkey, UPPER(p_name) AS a, LOWER(p_brand) AS b, REVERSE(p_type) AS c, REPLACE(p_name, 'a', 'xy') AS d FROM part", None),

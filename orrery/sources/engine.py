@@ -94,7 +94,7 @@ class Engine:
     def sql(self, text: str) -> DataFrame:
         for name in [n for n in self.lazy if n in text]:
             self.table(name)
-        found = self.spark.sql(rewrite(text))
+        found = self.spark.sql(rewrite(text, self._types(text)))
         for rule in self.rewrites:
             made = rule(found)
             if made.schema != found.schema:
@@ -102,6 +102,15 @@ class Engine:
             found = made
         return found
 
+    def _types(self, text: str) -> dict[str, str]:
+        """Types of the columns of the tables that the text names; a name with several types is left out."""
+        found: dict[str, set[str]] = {}
+        for name, df in self.tables.items():
+            if name in text:
+                for c, kind in df.dtypes:
+                    found.setdefault(c.lower(), set()).add(kind)
+        return {c: next(iter(kinds)) for c, kinds in found.items() if len(kinds) == 1}
+
     def explain_sql(self, text: str) -> str:
         return self.sql(text)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 

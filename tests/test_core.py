@@ -38,6 +38,7 @@ def one(df):
         ("SELECT LENGTH('héllo'), OCTET_LENGTH('héllo'), UPPER('ß')", (5, 6, "SS")),
         ("SELECT 0.1 + 0.2 > 0.3, 'it''s -- not /* a comment */'", (True, "it's -- not /* a comment */")),
         ("SELECT COUNT(*) FROM (VALUES (1), (NULL)) AS t(a) WHERE a NOT IN (2, NULL)", (0,)),
+        ("SELECT 7 / 2, -7 / 2, 7 / 0, 1.0 / 0, -1.0 / 0.0, 7 % 0, 8 / 2 / 2, 2 * 7 / 4, CAST(7 AS INT) / CAST(2 AS BIGINT), (1 + 6) / 2", (3, -3, None, float("inf"), float("-inf"), None, 2, 3, 3, 3)),
         ("SELECT /* x */ TOP 1 a FROM (VALUES (2), (1)) AS t(a) -- end\n ORDER BY a", (1,)),
     ],
 )
