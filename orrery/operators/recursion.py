@@ -33,6 +33,17 @@ def fixpoint(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], cap: int
     raise CapExceeded(f"no fixed point after {cap} steps")
 
 
+def linear(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], cap: int = CAP) -> DataFrame:
+    """WITH RECURSIVE .. UNION ALL with one reference: each step sees the rows of the one before."""
+    total = new = _kept(anchor)
+    for _ in range(cap):
+        new = _kept(step(new).toDF(*anchor.columns))
+        if new.isEmpty():
+            return total
+        total = _kept(total.unionAll(new))
+    raise CapExceeded(f"no fixed point after {cap} steps")
+
+
 def naive(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], cap: int = CAP, distinct: bool = False) -> DataFrame:
     """Non-linear recursion: each step makes anchor and step(all so far) anew, until the number of rows stays."""
     now = _kept(anchor.distinct() if distinct else anchor)
@@ -47,12 +58,19 @@ def naive(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], cap: int =
     raise CapExceeded(f"no fixed point after {cap} steps")
 
 
-def mutual(anchors: dict[str, DataFrame], steps: dict[str, Callable[[dict[str, DataFrame]], DataFrame]], cap: int = CAP) -> dict[str, DataFrame]:
-    """Mutually recursive sets in lockstep: every step sees what all relations had before it."""
-    now = {k: _kept(v.distinct()) for k, v in anchors.items()}
+def mutual(
+    anchors: dict[str, DataFrame], steps: dict[str, Callable[[dict[str, DataFrame]], DataFrame]], cap: int = CAP, bags: frozenset[str] = frozenset()
+) -> dict[str, DataFrame]:
+    """Mutually recursive relations in lockstep: every step sees what all relations had before it.
+
+    Relations are sets, but those named in ``bags`` (UNION ALL), which get all rows of every step. The end
+    is where no set has grown and no bag has got a row.
+    """
+    now = {k: _kept(v if k in bags else v.distinct()) for k, v in anchors.items()}
     counts = {k: v.count() for k, v in now.items()}
     for _ in range(cap):
-        now = {k: _kept(now[k].unionAll(steps[k](now).toDF(*now[k].columns)).distinct()) for k in now}
+        grown = {k: now[k].unionAll(steps[k](now).toDF(*now[k].columns)) if k in steps else now[k] for k in now}
+        now = {k: _kept(v if k in bags else v.distinct()) for k, v in grown.items()}
         after = {k: v.count() for k, v in now.items()}
         if after == counts:
             return now

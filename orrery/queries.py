@@ -105,6 +105,11 @@ SQL: dict[str, tuple[str, str | None]] = {
     "intersect_all": ("SELECT n_regionkey AS k FROM nation INTERSECT ALL SELECT n_nationkey % 2 FROM nation", None),
     "cte": ("WITH a AS (SELECT o_custkey, SUM(o_totalprice) AS s FROM orders GROUP BY o_custkey), b AS (SELECT MAX(s) AS m FROM a) SELECT o_custkey FROM a, b WHERE s = m", None),
     "recursive_linear": ("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 200) SELECT n FROM r", None),
+    "recursive_set_sql": ("WITH RECURSIVE r(src, dst) AS (SELECT CAST(n_nationkey AS BIGINT), CAST(n_regionkey AS BIGINT) FROM nation UNION SELECT r.src, CAST(n_regionkey AS BIGINT) FROM r JOIN nation ON r.dst = n_nationkey) SELECT src, dst FROM r", None),
+    "recursive_nonlinear_sql": ("WITH RECURSIVE r AS (SELECT n_nationkey AS src, n_regionkey AS dst FROM nation UNION SELECT a.src, b.dst FROM r AS a JOIN r AS b ON a.dst = b.src) SELECT src, dst FROM r", "WITH RECURSIVE r AS (SELECT n_nationkey AS src, n_regionkey AS dst FROM nation UNION SELECT r.src, n_regionkey FROM r JOIN nation ON r.dst = n_nationkey) SELECT src, dst FROM r"),
+    "recursive_mutual_sql": ("WITH RECURSIVE even(n) AS (SELECT r_regionkey FROM region WHERE r_regionkey = 0 UNION SELECT n + 1 FROM odd WHERE n < 40), odd(n) AS (SELECT r_regionkey FROM region WHERE r_regionkey = 1 UNION SELECT n + 1 FROM even WHERE n < 40) SELECT 'even' AS kind, n FROM even UNION ALL SELECT 'odd', n FROM odd", "SELECT CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, CAST(n AS INT) AS n FROM (SELECT generate_series AS n FROM generate_series(0, 40))"),
+    "unnamed_items": ("SELECT l_returnflag, SUM(l_linenumber), COUNT(*), MAX(l_tax), COUNT(DISTINCT l_suppkey) + 1 FROM lineitem GROUP BY l_returnflag", 'SELECT l_returnflag, CAST(SUM(l_linenumber) AS BIGINT) AS sum_l_linenumber, COUNT(*) AS "count", MAX(l_tax) AS max_l_tax, COUNT(DISTINCT l_suppkey) + 1 AS __expr_4 FROM lineitem GROUP BY l_returnflag'),
+    "join_collisions": ("SELECT * FROM (SELECT n_nationkey AS id, n_name AS name FROM nation) AS a JOIN (SELECT r_regionkey AS id, r_name AS name FROM region) AS b ON a.id = b.id", 'SELECT n_nationkey AS id, n_name AS name, r_regionkey AS "right.id", r_name AS "right.name" FROM nation JOIN region ON n_nationkey = r_regionkey'),
     "case_forms": ("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 40 THEN 'high' WHEN l_quantity > 20 THEN 'mid' END AS a, CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END AS b FROM lineitem", None),
     "coalesce_nullif": ("SELECT l_orderkey, l_linenumber, COALESCE(NULLIF(l_linenumber, 1), NULLIF(l_linenumber, 2), 9) AS k FROM lineitem", None),
     "casts": ("SELECT CAST(l_linenumber AS DOUBLE) AS a, CAST(l_quantity AS BIGINT) AS b, CAST(l_linenumber > 3 AS INT) AS c, CAST(CAST(l_tax AS DECIMAL(10,2)) AS DOUBLE) AS d FROM lineitem WHERE l_quantity = 7", None),

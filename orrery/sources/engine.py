@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from orrery.errors import CapExceeded, PlanError, TypeMismatch
-from orrery.plans.rewrite import rewrite
+from orrery.plans import recursive
+from orrery.plans.rewrite import parsed, written
 from orrery.session import configure
 
 #: Rows that a client gets at most.
@@ -20,6 +21,19 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 Batch = DataFrame | pa.Table | pa.RecordBatch
 
 
+def set_apart(df: DataFrame) -> DataFrame:
+    """A name that a join repeats becomes right.c, then right.c__2 and so on."""
+    if len(set(df.columns)) == len(df.columns):
+        return df
+    names: list[str] = []
+    for c in df.columns:
+        name, k = c if c not in names else f"right.{c}", 2
+        while name in names:
+            name, k = f"right.{c}__{k}", k + 1
+        names.append(name)
+    return df.toDF(*names)
+
+
 class Engine:
     """Tables are temporary views; a lazy one is loaded when a query first names it."""
 
@@ -94,7 +108,9 @@ class Engine:
     def sql(self, text: str) -> DataFrame:
         for name in [n for n in self.lazy if n in text]:
             self.table(name)
-        found = self.spark.sql(rewrite(text, self._types(text)))
+        nodes = parsed(text, self._types(text))
+        found = recursive.run(self.spark, nodes)
+        found = set_apart(self.spark.sql(written(nodes)) if found is None else found)
         for rule in self.rewrites:
             made = rule(found)
             if made.schema != found.schema:

@@ -154,6 +154,40 @@ def test_recursion(spark):
         recursion.fixpoint(spark.range(1), lambda n: n.select(F.col("id") + 1), cap=3)
 
 
+@pytest.mark.parametrize(
+    ("sql", "want"),
+    [
+        ("WITH RECURSIVE s AS (SELECT 1 AS a), r(n) AS (SELECT a FROM s UNION SELECT n % 3 + 1 FROM r), t(m) AS (SELECT 1 UNION ALL SELECT m + 1 FROM t WHERE m < 3) SELECT n, m FROM r, t", [(n, m) for n in (1, 2, 3) for m in (1, 2, 3)]),
+        ("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT a.n + 1 FROM r AS a JOIN r AS b ON a.n = b.n WHERE a.n < 2) SELECT n FROM r", [(1,), (2,)]),
+        ("WITH RECURSIVE e(n) AS (SELECT 0 UNION SELECT n + 1 FROM o WHERE n < 6), o(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM e WHERE n < 0) SELECT n FROM e", [(0,), (2,)]),
+        ("WITH RECURSIVE p(a, b) AS (SELECT a, b FROM (VALUES (1, 2), (2, 3), (3, 1)) AS t(a, b) UNION SELECT x.a, y.b FROM p AS x, p AS y WHERE x.b = y.a) SELECT COUNT(*) FROM p", [(9,)]),
+    ],
+)
+def test_recursion_in_text(engine, spark, sql, want):
+    assert sorted(map(tuple, engine.sql(sql).collect())) == want
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("__recursive")]
+
+
+@pytest.mark.parametrize(
+    ("sql", "error"),
+    [
+        ("WITH RECURSIVE r(n) AS (SELECT n FROM r UNION SELECT 1) SELECT * FROM r", SqlError), ("WITH RECURSIVE r(n, m) AS (SELECT 1 UNION SELECT n FROM r) SELECT * FROM r", SqlError),
+        ("WITH RECURSIVE r(n) AS (SELECT 1 UNION SELECT 2 WHERE 2 IN (SELECT n FROM r)) SELECT * FROM r", Unsupported), ("WITH a AS (SELECT 1), A AS (SELECT 2) SELECT * FROM a", SqlError),
+        ("WITH RECURSIVE r(n) AS (SELECT 1 UNION BY NAME SELECT n FROM r) SELECT * FROM r", Unsupported), ("WITH a (SELECT 1) SELECT 1", SqlError),
+    ],
+)
+def test_recursion_rejected(engine, sql, error):
+    with pytest.raises(error):
+        engine.sql(sql)
+
+
+def test_names(engine):
+    found = engine.sql("SELECT 1, 'a' x, 1 + 2 AS y, NULL, CASE WHEN 1 = 1 THEN 2 END, CASE WHEN 1 = 1 THEN 2 END z, DATE '2020-01-01', COUNT(*), SUM(t.a), MIN(a + 1), MAX(a), MAX(a) FROM (VALUES (1)) AS t(a)")
+    assert found.columns == ["__expr_0", "x", "y", "__expr_3", "__expr_4", "z", "__expr_6", "count", "sum_a", "min", "max_a", "right.max_a"]
+    assert engine.sql("SELECT DISTINCT a * 2, t.a FROM (VALUES (1)) AS t(a) UNION ALL SELECT 1, 2").columns == ["__expr_0", "a"]
+    assert engine.sql("SELECT * FROM (VALUES (1)) AS t(a), (VALUES (2)) AS u(a), (VALUES (3)) AS v(a)").columns == ["a", "right.a", "right.a__2"]
+
+
 def test_streamed_is_batch(spark, tmp_path):
     orders = spark.read.parquet(f"{DATA}/orders.parquet")
     orders.repartition(5).write.parquet(str(tmp_path / "parts"))
