@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from orrery.llm.common import checkpoint
 
 TILE_ROWS, TILE_QUERIES = 2048, 512
+#: Dimensions whose products of codes stay below 2**24, so that single precision adds them exactly.
+EXACT_DIMENSIONS = (1 << 24) // 127**2
 #: Bytes of query vectors (double precision) that are broadcast at once.
 BLOCK_BYTES = 48 << 20
 SCHEMA = "query bigint, query_id bigint, vec_id bigint, score double"
@@ -68,9 +70,10 @@ class Block:
     def _tile(self, ids: np.ndarray, x: np.ndarray) -> None:
         c, q = Codes(x), self.codes
         columns = np.ascontiguousarray(c.codes.astype(np.float32).T)
+        pieces = [slice(d, d + EXACT_DIMENSIONS) for d in range(0, len(columns), EXACT_DIMENSIONS)]
         for at in range(0, len(self.ids), TILE_QUERIES):
             own = slice(at, at + TILE_QUERIES)
-            products = (self.float_codes[own] @ columns).astype(np.float64)  # whole numbers below 2**24: exact up to 1040 dimensions
+            products = sum((self.float_codes[own, d] @ columns[d]).astype(np.float64) for d in pieces)
             products *= q.scale[own, None]
             products *= c.scale
             bound = q.rest[own, None] * c.norm + q.coded[own, None] * c.rest
