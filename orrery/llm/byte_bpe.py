@@ -8,7 +8,7 @@ texts; all others are encoded whole by the library.
 
 from __future__ import annotations
 
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -71,23 +71,29 @@ class WordIds:
     def slots(self, words: list[str]) -> np.ndarray:
         """Places of the words in the cache; those that are new are encoded. A word of letters and one
         closing mark is its letters' ids and then the mark's: the pre-tokeniser cuts between them."""
-        new = [w for w in words if w not in self.slot]
-        if len(self.slot) and len(self.slot) + len(new) > CACHE_WORDS:
+        found = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        if not len(missing):
+            return found
+        if len(self.slot) and len(self.slot) + len(missing) > CACHE_WORDS:
             self.clear()
-            new = words
-        if new:
-            marked = [w for w in new if self.marks and is_marked(w)]
-            base = [w[:-1] for w in marked]
-            whole = [w for w in dict.fromkeys([*self.marks, *(w for w in new if not (self.marks and is_marked(w))), *base]) if w not in self.slot]
-            ids = self.encode_words(whole)
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._add(whole, lengths, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
-            two = np.empty((len(marked), 2), np.int64)
-            two[:, 0] = np.fromiter(map(self.slot.__getitem__, base), np.int64, len(base))
-            two[:, 1] = [self.slot[w[-1]] for w in marked]
-            lengths = self.length[two].astype(np.int64)
-            self._add(marked, lengths.sum(1), ragged_gather(self.ids, self.start[two].ravel(), lengths.ravel()))
-        return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+            missing = np.arange(len(words))
+        new = [words[k] for k in missing.tolist()]
+        marks, marked, others = self.marks, [], []
+        for w in new:
+            (marked if w[-1:] in marks and is_marked(w) else others).append(w)
+        base = [w[:-1] for w in marked]
+        whole = [w for w in dict.fromkeys([*marks, *others, *base]) if w not in self.slot]
+        ids = self.encode_words(whole)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._add(whole, lengths, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
+        two = np.empty((len(marked), 2), np.int64)
+        two[:, 0] = np.fromiter(map(self.slot.__getitem__, base), np.int64, len(base))
+        two[:, 1] = [self.slot[w[-1]] for w in marked]
+        lengths = self.length[two].astype(np.int64)
+        self._add(marked, lengths.sum(1), ragged_gather(self.ids, self.start[two].ravel(), lengths.ravel()))
+        found[missing] = np.fromiter(map(self.slot.__getitem__, new), np.int64, len(new))
+        return found
 
     def plain(self, column: pa.Array) -> np.ndarray:
         return ~pc.match_substring_regex(column, self.odd).to_numpy(zero_copy_only=False)

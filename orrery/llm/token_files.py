@@ -36,7 +36,9 @@ HEADER = struct.Struct("<4sIIIQI")
 MAGIC = b"PFT1"
 #: Tokens after which a segment is closed, and segments in one file.
 SEGMENT_TOKENS = 1 << 20
-SEGMENTS_A_FILE = 8
+SEGMENTS_A_FILE = 4
+#: Bytes of text that are encoded at once: words that repeat in them are looked up once.
+ENCODE_BYTES = 8 << 20
 
 
 def bit_widths(values: np.ndarray) -> np.ndarray:
@@ -176,7 +178,7 @@ def encode_to_files(docs: DataFrame, vocabulary: str, end_id: int | None, folder
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["segment"])
 
         for batch in batches:
-            for at, count in slices_by_bytes(batch.column(1), 4 << 20):
+            for at, count in slices_by_bytes(batch.column(1), ENCODE_BYTES):
                 rows = batch.slice(at, count)
                 ids, counts = words.encode_column(rows.column(1))
                 if end_id is not None:
