@@ -345,6 +345,18 @@ def test_vector_search(spark):
     assert [(r.query_id, r.vec_id) for r in few] == [(0, 1)]
 
 
+def test_wide_vectors_keep_their_bounds():
+    """Vectors of one sign, whose sums of code products exceed what single precision holds exactly."""
+    rng = np.random.default_rng(1)
+    x, k = np.abs(rng.normal(size=(300, 3000))) + 5, 5
+    block = vector_search.Block(np.arange(40), np.arange(40), x[:40], k, np.full(40, -np.inf))
+    block.meet(np.arange(300), x)
+    scores = x[:40] @ x.T
+    scores[np.arange(40), np.arange(40)] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :k].tolist()
+    assert [[-v for _, v in sorted(h, reverse=True)] for h in block.heaps] == want
+
+
 def test_pieces_match_the_library(spark, docs, none):
     import sentencepiece
 
