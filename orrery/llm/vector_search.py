@@ -3,9 +3,9 @@
 Queries are dealt into blocks of bounded size, each of which is broadcast for one pass over all rows.
 A pass multiplies tiles of 8-bit codes, exactly, in single precision. With v = s * code + r, the
 product of two vectors differs from s * t * <code, code> by at most |r_q| |c| + |s code_q| |r_c|.
-Pairs whose upper bound reaches the query's threshold are recomputed in double precision; each
-query keeps its best in a heap of k. The threshold starts from the k-th best among the queries of
-the table itself, so that no pass sends more than a few rows for each query.
+Pairs whose upper bound reaches the query's threshold are recomputed in double precision, added in the
+order of the components; each query keeps its best in a heap of k. The threshold starts from the k-th
+best among the queries of the table itself, so that no pass sends more than a few rows for each query.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ TILE_ROWS, TILE_QUERIES = 2048, 512
 EXACT_DIMENSIONS = (1 << 24) // 127**2
 #: Bytes of query vectors (double precision) that are broadcast at once.
 BLOCK_BYTES = 48 << 20
+#: Products of components that are summed at once for pairs that the bounds leave.
+PAIR_VALUES = 1 << 22
 SCHEMA = "query bigint, query_id bigint, vec_id bigint, score double"
 
 
@@ -39,7 +41,7 @@ class Codes:
         rest = x - codes * self.scale[:, None]
         slack = 1 + 1e-6  # for the rounding of the bounds themselves
         self.norm = np.linalg.norm(x, axis=1) * slack
-        self.rest = np.linalg.norm(rest, axis=1) * slack + 1e-12 * self.norm
+        self.rest = np.linalg.norm(rest, axis=1) * slack + (1e-12 + 4e-16 * x.shape[1]) * self.norm
         self.coded = np.linalg.norm(codes * self.scale[:, None], axis=1) * slack
 
 
@@ -82,9 +84,10 @@ class Block:
                 low = np.where(same, -np.inf, products - bound)
                 self.least[own] = np.maximum(self.least[own], np.partition(low, -self.k, axis=1)[:, -self.k])
             row, column = np.nonzero((products + bound >= self.least[own, None]) & ~same)
-            for a in range(0, len(row), 1 << 18):
-                r, j = row[a : a + (1 << 18)] + at, column[a : a + (1 << 18)]
-                scores = np.einsum("ij,ij->i", self.x[r], x[j])
+            step = max(1, PAIR_VALUES // x.shape[1])
+            for a in range(0, len(row), step):
+                r, j = row[a : a + step] + at, column[a : a + step]
+                scores = np.cumsum(self.x[r] * x[j], axis=1)[:, -1]
                 keep = scores >= self.least[r]
                 for i, s, v in zip(r[keep].tolist(), scores[keep].tolist(), ids[j[keep]].tolist(), strict=True):
                     self._push(i, s, v)
@@ -136,6 +139,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     Candidates are all rows with another vec_id than the query's; vectors that are null, zero or hold a
     null or non-finite component take no part on either side, nor do rows with a null id. Only vectors of
     one length meet. Ties go to the smaller vec_id. Equal rows count each, as queries and as candidates.
+    score adds the products in the order of the components, so that it is the same wherever it is computed.
     Exact: bounds only save work. An empty table gives no rows.
     """
     spark = vectors.sparkSession
