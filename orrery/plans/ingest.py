@@ -45,32 +45,39 @@ def expression(e: dict, columns: list[Column], df: DataFrame) -> Column:
     if "literal" in e:
         return F.lit(e["literal"]).cast(type_of(e.get("type", "string")))
     name, args = e["call"], e.get("args", [])
+    if name == "cast":
+        return go(args[0]).cast(type_of(e["type"]))
+    if name in ("if_then", "switch"):
+        out = go(e["else"]) if "else" in e else F.lit(None)
+        for when, then in reversed(e["cases"]):
+            out = F.when(go(when) if name == "if_then" else go(args[0]) == go(when), go(then)).otherwise(out)
+        return out
+    if name == "like":
+        return apply(name, [go(args[0]), args[1]["literal"]], df)
+    return apply(name, list(map(go, args)), df)
+
+
+def apply(name: str, args: list, df: DataFrame) -> Column:
+    """A function by name over columns of ``df``; the pattern of "like" is its text."""
     if name in BINARY:
-        first, *rest = map(go, args)
+        first, *rest = args
         for r in rest:
             first = BINARY[name](first, r)
         return first
     if name == "divide":
-        a, b = map(go, args)
+        a, b = args
         kinds = [df.select(x.alias("x")).schema["x"].dataType.simpleString() for x in (a, b)]
         return S.divide(a, b, all(k in ("int", "bigint", "smallint", "tinyint") for k in kinds))
     if name in ("shift_left", "shift_right"):
-        return getattr(S, name)(go(args[0]), go(args[1]))
+        return getattr(S, name)(*args)
     if name == "not":
-        return ~go(args[0])
+        return ~args[0]
     if name in ("is_null", "is_not_null"):
-        return go(args[0]).isNull() if name == "is_null" else go(args[0]).isNotNull()
+        return args[0].isNull() if name == "is_null" else args[0].isNotNull()
     if name == "like":
-        return S.like(go(args[0]), args[1]["literal"])
-    if name == "cast":
-        return go(args[0]).cast(type_of(e["type"]))
+        return S.like(*args)
     if name in ("coalesce", "concat"):
-        return getattr(F, name)(*map(go, args))
-    if name in ("if_then", "switch"):
-        out = go(e["else"]) if "else" in e else F.lit(None)
-        for when, then in reversed(e["cases"]):
-            out = F.when(go(when) if name == "if_then" else go(args[0]) == go(when), go(then)).otherwise(out)
-        return out
+        return getattr(F, name)(*args)
     raise Unsupported(f"function {name}")
 
 
@@ -83,8 +90,17 @@ def to_frame(plan: dict, table: Callable[[str], DataFrame]) -> DataFrame:
         left, right, how = to_frame(plan["left"], table), to_frame(plan["right"], table), plan["how"]
         if how not in JOINS:
             raise Unsupported(f"{how} join")
-        columns = [left[f"`{c}`"] for c in left.columns] + [right[f"`{c}`"] for c in right.columns]
-        return left.join(right, expression(plan["on"], columns, left), how)
+        # Names of their own on both sides, so that equal ones and a table joined to itself do no harm.
+        names = list(left.columns)
+        for c in right.columns:
+            name, k = c if c not in names else f"right.{c}", 2
+            while name in names:
+                name, k = f"right.{c}__{k}", k + 1
+            names.append(name)
+        places = [f"_{k}" for k in range(len(names))]
+        left, right = left.toDF(*places[: len(left.columns)]), right.toDF(*places[len(left.columns) :])
+        both = left.limit(0).crossJoin(right.limit(0))
+        return left.join(right, expression(plan["on"], [F.col(p) for p in places], both), how).toDF(*names)
     if kind not in ("filter", "project", "aggregate", "sort", "fetch"):
         raise Unsupported(f"relation {kind}")
     df = to_frame(plan["input"], table)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from orrery import functions as fn
 from orrery.operators import recursion
 from orrery.operators import relational as rel
-from orrery.plans import ingest
+from orrery.plans import ingest, substrait
 from orrery.plans.builder import Builder
 from orrery.sources.engine import Engine
 from orrery.streaming import bounded
@@ -212,6 +212,17 @@ def _plan(spark, d):
     return ingest.to_frame({"rel": "sort", "input": grouped, "by": [[0, "asc", "first"]]}, _frames(spark, d))
 
 
+def _substrait(spark, d):
+    field = lambda k: {"selection": {"directReference": {"structField": {"field": k}}, "rootReference": {}}}
+    call = lambda f, *args: {"functionReference": f, "arguments": [{"value": a} for a in args]}
+    read = lambda t, *names, **more: {"read": {"baseSchema": {"names": names}, "namedTable": {"names": [t]}, **more}}
+    orders = read("orders", "o_custkey", "o_totalprice", filter={"scalarFunction": call(1, field(1), {"literal": {"fp64": 100000.0}})})
+    joined = {"join": {"left": orders, "right": read("customer", "c_custkey", "c_mktsegment"), "type": "JOIN_TYPE_LEFT", "expression": {"scalarFunction": call(2, field(0), field(2))}}}
+    grouped = {"aggregate": {"input": joined, "groupings": [{"groupingExpressions": [field(3)]}], "measures": [{"measure": call(3)}, {"measure": call(4, field(1))}]}}
+    functions = [{"extensionFunction": {"functionAnchor": k, "name": n}} for k, n in ((1, "gt:any_any"), (2, "equal:any_any"), (3, "count:"), (4, "min:fp64"))]
+    return substrait.to_frame({"extensions": functions, "relations": [{"root": {"input": grouped, "names": ["c_mktsegment", "n", "least"]}}]}, _frames(spark, d))
+
+
 def _batches(spark, d):
     engine, n = Engine(spark), _frames(spark, d)("nation")
     engine.register_table_stream_lazy("halves", n.schema, lambda: [n.where("n_nationkey < 12"), n.where("n_nationkey >= 12")])
@@ -254,6 +265,7 @@ PLAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "recursive_mutual": (_parity, "SELECT CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, n FROM (SELECT generate_series AS n FROM generate_series(0, 60))"),
     "builder": (_builder, 'SELECT l_returnflag, COUNT(*) AS "count", CAST(SUM(l_linenumber) AS BIGINT) AS sum_l_linenumber, MAX(l_tax) AS max_l_tax FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag'),
     "plan_ingestion": (_plan, "SELECT c_mktsegment, COUNT(*) AS n, MAX(o_totalprice) AS top FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000 GROUP BY c_mktsegment"),
+    "substrait_plan": (_substrait, "SELECT c_mktsegment, COUNT(*) AS n, MIN(o_totalprice) AS least FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000 GROUP BY c_mktsegment"),
     "lazy_batches": (_batches, "SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey"),
     "append_batch": (_append, "SELECT r_name, CAST(2 AS BIGINT) AS n FROM region"),
     "stream_scalar": (_stream([]), "SELECT COUNT(*) AS n, CAST(SUM(o_custkey) AS BIGINT) AS s, MIN(o_totalprice) AS a, MAX(o_totalprice) AS z FROM orders"),
