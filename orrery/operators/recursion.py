@@ -6,41 +6,59 @@ Each step's rows are written to the shared folder, which cuts the lineage; only
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
 from orrery.errors import CapExceeded
+from orrery.session import shared_dir
 
 CAP = 1000
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/orrery"
+#: Parts of a result whose union is read as it is.
+MOST_PARTS = 24
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class _Rows:
+    """All rows so far, as what each step added; written anew as one only when there are many such parts."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionAll, self.parts)
+
+    def add(self, new: DataFrame) -> None:
+        self.parts.append(new)
+        if len(self.parts) > MOST_PARTS:
+            self.parts = [_kept(self.all())]
+
+
 def fixpoint(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], cap: int = CAP) -> DataFrame:
     """WITH RECURSIVE .. UNION, by new rows only: the step must be linear in its argument."""
-    total = new = _kept(anchor.distinct())
+    new = _kept(anchor.distinct())
+    total = _Rows(new)
     for _ in range(cap):
-        new = _kept(step(new).toDF(*anchor.columns).subtract(total))
+        new = _kept(step(new).toDF(*anchor.columns).subtract(total.all()))
         if new.isEmpty():
-            return total
-        total = _kept(total.unionAll(new))
+            return total.all()
+        total.add(new)
     raise CapExceeded(f"no fixed point after {cap} steps")
 
 
 def linear(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], cap: int = CAP) -> DataFrame:
     """WITH RECURSIVE .. UNION ALL with one reference: each step sees the rows of the one before."""
-    total = new = _kept(anchor)
+    new = _kept(anchor)
+    total = _Rows(new)
     for _ in range(cap):
         new = _kept(step(new).toDF(*anchor.columns))
         if new.isEmpty():
-            return total
-        total = _kept(total.unionAll(new))
+            return total.all()
+        total.add(new)
     raise CapExceeded(f"no fixed point after {cap} steps")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: ANSI on: overflow is an error. Naive timestamps are read as UTC. Recursion is bounded.
@@ -12,6 +14,22 @@ SETTINGS = {
     "spark.sql.cteRecursionLevelLimit": "1000",
 }
 
+#: Where checkpoints go when the session names no folder (tests on one machine).
+LOCAL_CHECKPOINTS = "/tmp/checkpoints/orrery"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder: spark.checkpoint.dir, or a local one where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():

@@ -181,6 +181,14 @@ def test_recursion_rejected(engine, sql, error):
         engine.sql(sql)
 
 
+def test_recursion_writes_many_parts_as_one(spark, monkeypatch):
+    monkeypatch.setattr(recursion, "MOST_PARTS", 3)
+    one_row = spark.range(1).select(F.col("id").alias("n"))
+    step = lambda t: t.select((F.col("n") + 1).alias("n")).where("n < 12")
+    for run in (recursion.fixpoint, recursion.linear):
+        assert sorted(r.n for r in run(one_row, step).collect()) == list(range(12))
+
+
 def test_names(engine):
     found = engine.sql("SELECT 1, 'a' x, 1 + 2 AS y, NULL, CASE WHEN 1 = 1 THEN 2 END, CASE WHEN 1 = 1 THEN 2 END z, DATE '2020-01-01', COUNT(*), SUM(t.a), MIN(a + 1), MAX(a), MAX(a) FROM (VALUES (1)) AS t(a)")
     assert found.columns == ["__expr_0", "x", "y", "__expr_3", "__expr_4", "z", "__expr_6", "count", "sum_a", "min", "max_a", "right.max_a"]
@@ -195,6 +203,13 @@ def test_streamed_is_batch(spark, tmp_path):
     stream = bounded.stream_files(spark, str(tmp_path / "parts"), orders.schema)
     got = bounded.aggregate(stream, ["o_orderstatus"], *aggregates)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, orders.groupBy("o_orderstatus").agg(*aggregates).collect()))
+    whole = bounded.aggregate(stream, [], *aggregates)
+    assert tuple(whole.first()) == tuple(orders.agg(*aggregates).first()) and whole.count() == 1
+    nullable = bounded.aggregate(stream, [F.nullif(F.col("o_orderstatus"), F.lit("F"))], *aggregates)
+    assert nullable.count() == 3
+    (tmp_path / "nothing").mkdir()
+    empty = bounded.stream_files(spark, str(tmp_path / "nothing"), orders.schema)
+    assert [tuple(r) for r in bounded.aggregate(empty, [], *aggregates).collect()] == [(0, None)] and bounded.aggregate(empty, ["o_orderstatus"], *aggregates).count() == 0
     kept = bounded.rows(stream.where("o_totalprice > 1000").select("o_orderkey"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert kept.count() == orders.where("o_totalprice > 1000").count()
 
