@@ -21,7 +21,7 @@ ODD_SPACE = (
     r"  |\n\n| \n|\n |^[ \n]|[ \n]$|[\t\r\x0b\x0c\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-#: Words a worker keeps; beyond, it starts anew.
+#: Words a worker keeps; beyond, it keeps those that the texts at hand have.
 CACHE_WORDS = 700_000
 
 _workers: dict[int, Words] = {}
@@ -68,6 +68,16 @@ class WordIds:
         self.used += len(flat)
         self.slot.update(zip(words, range(n, n + len(words)), strict=True))
 
+    def _keep(self, words: list[str], found: np.ndarray) -> None:
+        """Forget all words but those that were found now, and set their new places."""
+        known = np.flatnonzero(found >= 0)
+        places = found[known]
+        lengths = self.length[places].astype(np.int64)
+        ids = ragged_gather(self.ids, self.start[places], lengths)
+        self.clear()
+        self._add([words[k] for k in known.tolist()], lengths, ids)
+        found[known] = np.arange(len(known))
+
     def slots(self, words: list[str]) -> np.ndarray:
         """Places of the words in the cache; those that are new are encoded. A word of letters and one
         closing mark is its letters' ids and then the mark's: the pre-tokeniser cuts between them."""
@@ -76,8 +86,7 @@ class WordIds:
         if not len(missing):
             return found
         if len(self.slot) and len(self.slot) + len(missing) > CACHE_WORDS:
-            self.clear()
-            missing = np.arange(len(words))
+            self._keep(words, found)
         new = [words[k] for k in missing.tolist()]
         marks, marked, others = self.marks, [], []
         for w in new:
