@@ -22,7 +22,8 @@ ODD_SPACE = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 #: Words a worker keeps; beyond, it keeps those that the texts at hand have.
-CACHE_WORDS = 700_000
+#: Just below where Python doubles the table of a dict.
+CACHE_WORDS = 690_000
 
 _workers: dict[int, Words] = {}
 
@@ -176,6 +177,7 @@ def split_words(column: pa.Array, glue_first: bool) -> tuple[np.ndarray, np.ndar
     spaced = pc.replace_substring(column, "\n", " \n ")
     offsets, values = list_parts(pc.split_pattern(spaced, " "))
     coded = values.dictionary_encode()
+    del spaced, values
     codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
     feed = words.index("\n") if "\n" in words else -1
     glued = codes == feed

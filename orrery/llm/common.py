@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -48,6 +50,24 @@ def texts(docs: DataFrame, *cols: str, text: str = "text") -> DataFrame:
     return docs.select(*cols, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
 
 
+def release() -> None:
+    """Give back what Arrow and the C library hold for later use: an idle worker's share counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same over a task's batches, with its free memory given back at the task's end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def list_parts(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     """Offsets from zero and the flat values of a list array, whatever slice it is."""
     offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)

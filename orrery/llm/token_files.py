@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.byte_bpe import Words
-from orrery.llm.common import checkpoint, scratch, ship, slices_by_bytes, texts
+from orrery.llm.common import checkpoint, releasing, scratch, ship, slices_by_bytes, texts
 
 BLOCK = 128
 PERCENTILE = 90
@@ -193,7 +193,7 @@ def encode_to_files(docs: DataFrame, vocabulary: str, end_id: int | None, folder
 
     narrow = texts(docs, doc_id, text=text).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     dealt = narrow.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    segments = dealt.mapInArrow(run, "segment binary")
+    segments = dealt.mapInArrow(releasing(run), "segment binary")
     segments.select(F.col("segment").cast("string")).write.option("maxRecordsPerFile", SEGMENTS_A_FILE).text(folder)
     return folder
 
@@ -217,7 +217,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-    rows = checkpoint(files.mapInArrow(run, "part int, segment int, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint"))
+    rows = checkpoint(files.mapInArrow(releasing(run), "part int, segment int, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint"))
     # Prefix sums in two steps: within each part over its segments, and over the parts, of which there are as many as shuffle partitions.
     segments = rows.groupBy("part", "segment").agg(F.sum("n_tokens").alias("n"))
     parts = segments.groupBy("part").agg(F.sum("n").alias("n"))
