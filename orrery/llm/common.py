@@ -58,12 +58,25 @@ def release() -> None:
         trim(0)
 
 
-def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same over a task's batches, with its free memory given back at the task's end."""
+#: Bytes of batches that this worker has read since it gave memory back.
+_read_bytes = 0
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], every: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same over a task's batches; at its end free memory is given back, if the worker has read ``every`` bytes since it last was."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        release()
+        from orrery.llm import common  # the worker's module, whose count outlives the task
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                common._read_bytes += batch.nbytes
+                yield batch
+
+        yield from run(counted())
+        if common._read_bytes >= every:
+            common._read_bytes = 0
+            release()
 
     return whole
 

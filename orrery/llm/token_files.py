@@ -39,6 +39,8 @@ SEGMENT_TOKENS = 1 << 20
 SEGMENTS_A_FILE = 4
 #: Bytes of text that are encoded at once: words that repeat in them are looked up once.
 ENCODE_BYTES = 8 << 20
+#: Bytes after which a worker gives free memory back at the end of a task: each time costs the pages' zeroing anew.
+RELEASE_BYTES = 40 << 20
 
 
 def bit_widths(values: np.ndarray) -> np.ndarray:
@@ -193,7 +195,7 @@ def encode_to_files(docs: DataFrame, vocabulary: str, end_id: int | None, folder
 
     narrow = texts(docs, doc_id, text=text).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     dealt = narrow.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    segments = dealt.mapInArrow(releasing(run), "segment binary")
+    segments = dealt.mapInArrow(releasing(run, RELEASE_BYTES), "segment binary")
     segments.select(F.col("segment").cast("string")).write.option("maxRecordsPerFile", SEGMENTS_A_FILE).text(folder)
     return folder
 
