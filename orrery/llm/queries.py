@@ -51,13 +51,24 @@ DRILL = 500
 
 
 def damage(name: str, data: bytes) -> bytes:
-    """One bit of every DRILL-th record of a file flipped, from the first on."""
+    """One bit of every DRILL-th record of a file flipped, from the first on, and of the one after it; half-way between, the bytes at both sides of a boundary.
+
+    Of four files the second loses the last half of its last record, and the third has bytes after it.
+    """
     from orrery.llm.warc import members
 
-    changed = bytearray(data)
-    for k, (at, n, _) in enumerate(members(data)):
-        if k % DRILL == 0:
+    changed, number = bytearray(data), int(name.split("-")[0]) % 4
+    found = list(members(data))
+    for k, (at, n, _) in enumerate(found):
+        if k % DRILL < 2:
             changed[at + n // 2] ^= 1
+        elif k % DRILL == DRILL // 2 and k + 1 < len(found):
+            changed[at + n - 1] ^= 1
+            changed[at + n] ^= 1
+    if number == 1 and found:
+        del changed[found[-1][0] + found[-1][1] // 2 : -1]
+    if number == 2 and found:
+        changed[-1:] = b"surplus\n"
     return bytes(changed)
 
 

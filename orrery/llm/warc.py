@@ -4,8 +4,8 @@ Files hold one gzip member for each record, as is usual for WARC, and one line f
 Spark's text writer adds. A replica's tree has one leaf for each record's byte range (the hash of its
 stored bytes with the range), inner nodes over FAN ordered neighbours up to the file's root, and above the
 files one node for each of 256 buckets of file names and the root. Replicas are compared from the root;
-only the children of nodes that differ are compared further. Each replica is read once, where its files
-are: where a member doesn't unpack, its range ends where the next one that does begins.
+only the children of nodes that differ are compared further. A copy is hashed over the archive's own ranges,
+whose lengths are sent to where the copy's files are read; the bytes stay there.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,8 @@ FAN = 16
 MAGIC = b"\x1f\x8b\x08"
 #: Compressed bytes after which a file is closed.
 FILE_BYTES = 8 << 20
+#: Records whose lengths are broadcast for one pass over a copy.
+MOST_RANGES = 8 << 20
 NODES = "file string, level int, idx bigint, begin bigint, end bigint, hash string, page_id bigint, url string"
 _BREAKS = re.compile(r"[\x00-\x20\x7f]")
 
@@ -126,13 +130,17 @@ def files_of(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select(file_name(F.col("path")).alias("file"), "content")
 
 
-def leaf(data: bytes, begin: int, end: int) -> bytes:
-    return hashlib.sha256(b"\0" + struct.pack("<QQ", begin, end) + data[begin:end]).digest()
+def leaf(data: bytes, begin: int, end: int, upto: int) -> bytes:
+    return hashlib.sha256(b"\0" + struct.pack("<QQ", begin, end) + data[begin:upto]).digest()
 
 
 def tree(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int, int, int, bytes]]:
-    """(level, index, begin, end, hash) of all nodes over the ranges of a file; the last one is its root."""
-    nodes = [(0, k, a, b, leaf(data, a, b)) for k, (a, b) in enumerate(ranges)]
+    """(level, index, begin, end, hash) of all nodes over the ranges of a file; the last one is its root.
+
+    Bytes after the last range, but for the writer's line feed, are hashed with it.
+    """
+    full = len(data) - data.endswith(b"\n")
+    nodes = [(0, k, a, b, leaf(data, a, b, b if k < len(ranges) - 1 else max(b, full))) for k, (a, b) in enumerate(ranges)]
     level, out = nodes, list(nodes)
     while len(level) > 1:
         groups = [level[k : k + FAN] for k in range(0, len(level), FAN)]
@@ -141,8 +149,17 @@ def tree(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int, int
     return out
 
 
+def _nodes(name: str, data: bytes, ranges: list[tuple[int, int]], pages: list[tuple[int | None, str | None]]) -> pa.RecordBatch:
+    found = tree(data, ranges)
+    pages = pages + [(None, None)] * (len(found) - len(pages))
+    columns = [[name] * len(found), *(list(c) for c in zip(*found, strict=True)), *(list(c) for c in zip(*pages, strict=True))] if found else [[]] * 8
+    columns[5] = [d.hex() for d in columns[5]]
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in NODES.split(", ")])
+
+
 def replica_nodes(files: DataFrame) -> DataFrame:
-    """All nodes within the files of a replica; leaves have their record's page and address, if it isn't damaged."""
+    """All nodes within the files of an archive; leaves have their record's page and address, if it isn't damaged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,16 +169,38 @@ def replica_nodes(files: DataFrame) -> DataFrame:
                 for at, n, record_data in members(data):
                     ranges.append((at, at + n))
                     pages.append(read_record(record_data)[:2] if record_data else (None, None))
-                found = tree(data, ranges)
-                pages += [(None, None)] * (len(found) - len(pages))
-                columns = [[name] * len(found), *(list(c) for c in zip(*found, strict=True)), *(list(c) for c in zip(*pages, strict=True))] if found else [[]] * 8
-                columns[5] = [d.hex() for d in columns[5]]
-                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in NODES.split(", ")])
+                yield _nodes(name, data, ranges, pages)
 
     return files.mapInArrow(run, NODES)
 
 
+def copy_nodes(files: DataFrame, ours: DataFrame, most: int = MOST_RANGES) -> DataFrame:
+    """The same nodes over a copy's files: over the ranges that ``ours`` has for a file of that name, whatever the copy's bytes are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content, lengths in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                ends = list(accumulate(lengths))
+                yield _nodes(name, content.as_py(), list(zip([0, *ends[:-1]], ends, strict=True)), [])
+
+    # Ranges follow one another from a file's first byte, so their lengths tell them.
+    length = F.struct("idx", (F.col("end") - F.col("begin")).cast("int").alias("n"))
+    leaves = ours.where("level = 0")
+    lists = checkpoint(leaves.groupBy("file").agg(F.transform(F.sort_array(F.collect_list(length)), lambda x: x["n"]).alias("lengths")))
+    slices, held = [[]], 0
+    for name, n in lists.select("file", F.size("lengths")).orderBy("file").collect():
+        if slices[-1] and held + n > most:
+            slices.append([])
+            held = 0
+        slices[-1].append(name)
+        held += n
+    found = []
+    for k, names in enumerate(slices):
+        some = lists if len(slices) == 1 else lists.where(F.col("file") >= names[0]) if k == len(slices) - 1 else lists.where(F.col("file").between(names[0], names[-1]))
+        found.append(files.join(F.broadcast(some), "file").select("file", "content", "lengths").mapInArrow(run, NODES))
+    return reduce(DataFrame.unionByName, found)
+
+
 def _upper(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Roots of the files, nodes of the 256 buckets of file names, and the root."""
     files = nodes.groupBy("file").agg(F.max_by("hash", "level").alias("hash"), F.max("level").alias("top")).withColumn("bucket", F.sha2("file", 256).substr(1, 2))
@@ -190,7 +229,8 @@ def damaged(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         below = strip(ours).where(F.col("level") == level - 1)
         parents = bad.where(F.col("level") == level).select("file", F.col("idx").alias("up"))
         children = below.join(parents, (below.file == parents.file) & (F.floor(below.idx / FAN) == parents.up)).select(below.file, "level", "idx", "hash")
-        worse = differ(children, strip(theirs).where(F.col("level") == level - 1), "file", "level", "idx")
+        # Written once: each level would else run all those above it twice.
+        worse = checkpoint(differ(children, strip(theirs).where(F.col("level") == level - 1), "file", "level", "idx"))
         bad = bad.unionByName(worse)
         if level == 1:
             leaves = leaves.unionByName(worse.select("file", "idx"))
@@ -223,9 +263,12 @@ def audit(files: DataFrame, replica: DataFrame) -> DataFrame:
     """Every record with its range, page, leaf hash, the archive's root, and whether the replica's bytes differ.
 
     ``files`` and ``replica`` are (file, content). Records of a file that the replica lacks are damaged;
-    files that only the replica has aren't looked at. Archives without records give no rows.
+    files that only the replica has aren't looked at. Archives without records give no rows. A record is
+    damaged where its range in the replica has other bytes or fewer: after a loss or an insertion within a file
+    that is every record that no longer stands at its offset. What follows a file's last record counts as its.
     """
-    ours, theirs = checkpoint(replica_nodes(files)), checkpoint(replica_nodes(replica).drop("page_id", "url"))
+    ours = checkpoint(replica_nodes(files))
+    theirs = checkpoint(copy_nodes(replica, ours).drop("page_id", "url"))
     root = _upper(ours)[2].first()["hash"]
     bad = damaged(ours, theirs).withColumn("damaged", F.lit(True))
     leaves = ours.where("level = 0").select("file", F.col("idx").alias("record"), F.col("begin").alias("offset"), (F.col("end") - F.col("begin")).alias("length"), "page_id", "url", F.col("hash").alias("leaf_sha256"))
