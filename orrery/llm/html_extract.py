@@ -13,7 +13,7 @@ import functools
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,15 +27,18 @@ from orrery.llm.html_pages import labelled_pages
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
 PLAIN = frozenset("title textarea xmp iframe noembed noframes".split())
-UNSEEN = RAW | {"title", "iframe", "noembed", "noframes", "template", "svg", "math", "object", "head"}
+UNSEEN = RAW | {"title", "iframe", "noembed", "noframes", "template", "head"}
 CONTAINER = frozenset("html body div section article main aside nav header footer form ul ol dl table tbody thead tfoot tr figure details dialog fieldset noscript menu center frameset hgroup search select".split())
 BLOCK = CONTAINER | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption pre blockquote figcaption hr address summary legend option optgroup title textarea button".split())
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "button", "option", "optgroup", "legend", "select", "body", "html", "title", "textarea", "noscript"}
 #: An opening tag of the key ends an open element of the values, if nothing of the third kind is between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?][^>]*>|<[/!?a-zA-Z][^>]*\Z", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(class|id|role|data-label|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+#: One attribute after the other: a name, and its value if it has one.
+ATTRIBUTE = re.compile(r"""([^\s/=][^\s/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'][^\s]*)))?|=""")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Parts of names that an article's wrapper has.
+ARTICLE_NAMES = frozenset("article content post entry story".split())
 SPACE = re.compile(r"\s+")
 
 
@@ -50,12 +53,34 @@ class Node:
     unseen: bool = False
     length: int = 0
     linked: int = 0
+    direct: int = 0
+    parts: frozenset[str] = frozenset()
+    wraps: bool = False
 
 
-def parse(page: str) -> list[Node]:
-    """Nodes in page order; the first is the root. Scripts, styles, comments and titles leave no text."""
+def attributes(raw: str) -> dict[str, str]:
+    """The attributes of a tag by lower-case name; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for a in ATTRIBUTE.finditer(raw):
+        if a[1]:
+            found.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
+    return found
+
+
+def parse(page: str, labelled: bool = False) -> list[Node]:
+    """Nodes in page order; the first is the root. Scripts, styles, comments and titles leave no text.
+
+    ``data-label`` is read from labelled pages only, where the model is fitted; in any other page it is an
+    attribute without meaning.
+    """
     nodes = [Node("html", -1)]
     stack, at, n = [0], 0, len(page)
+    # How many elements of each kind are open: an end tag that closes none costs no walk.
+    opened = Counter({"html": 1})
+
+    def cut(d: int) -> None:
+        opened.subtract(nodes[k].tag for k in stack[d:])
+        del stack[d:]
 
     def put(node: Node) -> int:
         node.unseen = nodes[node.parent].unseen or node.tag in UNSEEN
@@ -78,35 +103,39 @@ def parse(page: str) -> list[Node]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for d in range(len(stack) - 1, 0, -1):
+            for d in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if nodes[stack[d]].tag == tag:
-                    del stack[d:]
+                    cut(d)
                     break
                 if nodes[stack[d]].tag in CONTAINER and tag not in CONTAINER:
                     break  # an end tag of a phrase doesn't close a section
             continue
-        if tag in ("html", "body") and tag in (nodes[k].tag for k in stack[(tag == "body") :]):
+        found = attributes(m[3]) if m[3] else {}
+        if tag in ("html", "body") and opened[tag]:
+            if labelled and tag == "html":
+                nodes[0].label = int(found.get("data-label", 0))
             continue
         if tag == "body" and nodes[stack[-1]].tag == "head":
-            stack.pop()
-        if tag in CLOSES_P:
+            cut(len(stack) - 1)
+        if tag in CLOSES_P and opened["p"]:
             for d in range(len(stack) - 1, 0, -1):
                 if nodes[stack[d]].tag == "p":
-                    del stack[d:]
+                    cut(d)
                     break
                 if nodes[stack[d]].tag in CONTAINER or nodes[stack[d]].tag in ("td", "th", "button"):
                     break
-        if tag in ENDS:
+        if tag in ENDS and any(opened[t] for t in ENDS[tag][0]):
             ended, fence = ENDS[tag]
             for d in range(len(stack) - 1, 0, -1):
                 if nodes[stack[d]].tag in ended:
-                    del stack[d:]
+                    cut(d)
                     break
                 if nodes[stack[d]].tag in fence:
                     break
-        found = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[3])} if m[3] else {}
-        label = int(found["data-label"]) if "data-label" in found else nodes[stack[-1]].label
-        names = " ".join(v for k, v in found.items() if k in ("class", "id", "role")) + (" hidden" if "hidden" in found else "")
+        label = nodes[stack[-1]].label
+        if labelled and "data-label" in found:
+            label = int(found["data-label"])
+        names = " ".join(v for k in ("class", "id", "role") if (v := found.get(k))) + (" hidden" if "hidden" in found else "")
         k = put(Node(tag, stack[-1], names=names, label=label))
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -117,13 +146,18 @@ def parse(page: str) -> list[Node]:
             at = close.end() if close else n
             continue
         stack.append(k)
+        opened[tag] += 1
     for k in range(len(nodes) - 1, 0, -1):
         x = nodes[k]
         if x.tag == "#":
-            x.length = len(x.text.strip())
+            x.length = x.direct = len(x.text.strip())
+        elif x.names:
+            x.parts = frozenset(p.lower() for p in NAME_PARTS.findall(x.names))
         up = nodes[x.parent]
         up.length += x.length
         up.linked += x.length if x.tag == "a" else x.linked
+        up.direct += 0 if x.tag in CONTAINER else x.direct
+        up.wraps |= x.wraps or x.tag in ("article", "main") or x.tag in CONTAINER and not ARTICLE_NAMES.isdisjoint(x.parts)
     return nodes
 
 
@@ -138,15 +172,15 @@ def traits(nodes: list[Node], k: int) -> list[str]:
     if x.tag == "#":
         return ["text"]
     out = ["tag " + x.tag]
-    if x.names:
-        parts = {p.lower() for p in NAME_PARTS.findall(x.names)}
-        out += ["name " + p for p in sorted(parts)]
+    out += ["name " + p for p in sorted(x.parts)]
     if x.tag in CONTAINER:
         up = nodes[x.parent].tag if x.parent >= 0 else ""
         out.append(f"in {x.tag} {up}")
         out.append(f"size {min(4, len(str(x.length)))}" if x.length else "size none")
         if x.length:
             out.append(f"links {4 * x.linked // x.length}")
+            whole = x.tag if x.tag in ("html", "body") else "part"
+            out.append(f"direct {4 * x.direct // x.length} {'around an article' if x.wraps else 'alone'} {whole}")
     elif x.length and x.linked > 0.8 * x.length:
         out.append("mostly links")
     return out
@@ -234,7 +268,7 @@ class ContentModel:
 def fit(pages: list[str], rounds: int = 60, rate: float = 0.15, shrink: float = 1e-4) -> ContentModel:
     """Adam's ascent of the likelihood of all node labels, by exact marginals."""
     model = ContentModel(defaultdict(float), [[[0.5, -0.5], [-0.5, 0.5]] for _ in range(4)])
-    trees = [parse(p) for p in pages]
+    trees = [parse(p, labelled=True) for p in pages]
     own = [[traits(t, k) for k in range(len(t))] for t in trees]
     first: dict = defaultdict(float)
     second: dict = defaultdict(float)
@@ -272,8 +306,10 @@ def extract(pages: DataFrame, model: ContentModel | None = None, page_id: str =
     """page_id, url, text and n_chars of every page.
 
     text is what the model holds to be the article: character references decoded, white space inside a
-    block one space, blocks in page order joined by one space. A null or empty page, or one without an
-    article, has an empty text. Repeated rows come out each; other columns play no part. No shuffle.
+    block one space, blocks in page order joined by one space. A page without a wrapper around its article
+    (bare paragraphs, plain text) is read as the article where nothing says otherwise. A null or empty page,
+    or one without an article, has an empty text. Repeated rows come out each; a null id or url stays null;
+    other columns, whatever their names, play no part. An empty table gives no rows. No shuffle.
     """
     shipped = pages.sparkSession.sparkContext.broadcast(model or default_model())
 

@@ -1,7 +1,8 @@
 """Labelled pages for the content model: layouts of many kinds, with the article marked.
 
 Each page is written from parts of its own wording; ``data-label`` on an element says whether it and
-what it holds, up to the next mark, is the article (1) or not (0).
+what it holds, up to the next mark, is the article (1) or not (0). A fifth of the pages have no wrapper
+around the article.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ class Writer:
             lambda: "<ul>" + "".join(f"<li>{self.prose(2)}</li>" for _ in range(r.randint(1, 5))) + "</ul>", lambda: f"<div>{self.prose()}</div>",
             lambda: f"<pre>{self.words(2, 12)}</pre>", lambda: f"<table><tr><td>{self.words(1, 4)}<td>{self.words(1, 4)}</table>",
             lambda: f"<figure><img src=x><figcaption>{self.words(2, 9)}</figcaption></figure>", lambda: f"<section><h3>{self.words(1, 5)}</h3><p>{self.prose()}</p></section>",
-            lambda: f"<p>{self.words(1, 1).capitalize()}.</p>",
+            lambda: f"<p>{self.words(1, 1).capitalize()}.</p>", self.formula, self.drawing,
         ))()
 
     def article(self) -> str:
@@ -96,8 +97,33 @@ class Writer:
             return f'<main data-label="1">{body}</main>'
         return f'<div {r.choice(("class", "id"))}="{r.choice(CONTENT_NAMES)}" data-label="1">{body}</div>'
 
+    def formula(self) -> str:
+        return f"<p>{self.words(1, 4)} <math><mi>{self.words(1, 1)[:1]}</mi><mo>=</mo><mn>2</mn></math> {self.words(1, 4)}</p>"
+
+    def drawing(self) -> str:
+        return f"<figure><svg width=9><title>{self.words(1, 2)}</title><text x=1>{self.words(1, 4)}</text></svg><object data=x>{self.words(2, 6)}</object></figure>"
+
+    def bare(self) -> str:
+        """A page whose article has no wrapper of its own: blocks, or text alone, between the other parts or by itself."""
+        r = self.random
+        others = lambda kinds, p: [self.other(k) for k in kinds if r.random() < p]
+        blocks = [self.block() for _ in range(r.choice((1, 2, 3, 5, 9)))]
+        kind = r.random()
+        if kind < 0.2:
+            return f'<html data-label="1">{r.choice((self.prose(4), "".join(blocks), self.prose(1) + "".join(blocks)))}'
+        title = f"<h1>{self.words(1, 8)}</h1>" if r.random() < 0.5 else ""
+        before, after = others(("menu", "head", "ad", "notice", "form"), 0.3), others(("side", "share", "comments", "foot"), 0.3)
+        inner = title + "".join(blocks)
+        if kind < 0.45:
+            wrapper = r.choice(("div", "section", "div class='wrapper'", "div id='page'", "table><tr><td"))
+            inner = f'<{wrapper.split(">")[0]} data-label="1">{"<tr><td>" if ">" in wrapper else ""}{inner}</{wrapper.split()[0].split(">")[0]}>'
+            return f'<html><body data-label="0">{"".join(before)}{inner}{"".join(after)}</body></html>'
+        return f'<html><head><title>{self.words(1, 5)}</title></head><body data-label="1">{"".join(before)}{inner}{"".join(after)}</body></html>'
+
     def page(self) -> str:
         r = self.random
+        if r.random() < 0.2:
+            return self.bare()
         before = [self.other(k) for k in ("notice", "head", "menu", "ad", "form", "side", "share") if r.random() < 0.45]
         after = [self.other(k) for k in ("share", "ad", "side", "comments", "menu", "form", "notice", "foot", "foot") if r.random() < 0.4]
         middle = self.article() if r.random() < 0.96 else ""
@@ -112,5 +138,5 @@ class Writer:
         return f'<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title></head><body data-label="0">{noscript}{"".join(before)}{middle}{"".join(after)}</body></html>'
 
 
-def labelled_pages(n: int = 240, seed: int = 20) -> list[str]:
+def labelled_pages(n: int = 320, seed: int = 20) -> list[str]:
     return [Writer(seed * 100_003 + k).page() for k in range(n)]

@@ -180,7 +180,7 @@ def test_html_on_unseen_layouts():
     model = html_extract.default_model()
     wrong = total = 0
     for page in html_pages.labelled_pages(60, seed=77):
-        nodes = html_extract.parse(page)
+        nodes = html_extract.parse(page, labelled=True)
         belief, _ = model.marginals(nodes)
         for node, p in zip(nodes, belief, strict=True):
             if node.tag == "#" and node.text.strip():
