@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ def slices_by_bytes(column: pa.Array, most: int):
     """(start, count) runs of rows whose texts take about ``most`` bytes together, one row at least."""
     if len(column) == 0:
         return
-    sizes = pa.compute.binary_length(column).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
     group = np.cumsum(sizes) // most
     cuts = np.flatnonzero(np.diff(group)) + 1
     edges = [0, *cuts.tolist(), len(column)]

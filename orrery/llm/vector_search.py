@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ class Codes:
 def matrix(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, vectors in double precision) for each length of vector in the batch."""
     ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-    lengths = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     for d in np.unique(lengths).tolist():
         at = np.flatnonzero(lengths == d)
         part = lists.take(pa.array(at))
