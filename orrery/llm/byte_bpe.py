@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from orrery.llm.common import list_parts, ragged_gather
+from orrery.llm.common import claim, list_parts, ragged_gather
 
 #: White space other than single inner spaces and single inner line feeds, in RE2's syntax.
 ODD_SPACE = (
@@ -37,6 +37,8 @@ class WordIds:
     odd = ""
     #: Whether a text's first word has no space before it.
     glue_first = True
+    #: Words kept.
+    most_words = CACHE_WORDS
 
     def __init__(self) -> None:
         self.clear()
@@ -86,7 +88,7 @@ class WordIds:
         missing = np.flatnonzero(found < 0)
         if not len(missing):
             return found
-        if len(self.slot) and len(self.slot) + len(missing) > CACHE_WORDS:
+        if len(self.slot) and len(self.slot) + len(missing) > self.most_words:
             self._keep(words, found)
         new = [words[k] for k in missing.tolist()]
         marks, marked, others = self.marks, [], []
@@ -106,6 +108,8 @@ class WordIds:
         return found
 
     def plain(self, column: pa.Array) -> np.ndarray:
+        if not self.odd:
+            return np.zeros(len(column), bool)
         return ~pc.match_substring_regex(column, self.odd).to_numpy(zero_copy_only=False)
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +153,7 @@ class Words(WordIds):
     @staticmethod
     def of(data: bytes) -> Words:
         """One for each worker process and vocabulary."""
+        claim("words", _workers.clear)
         key = hash(data)
         if key not in _workers:
             _workers[key] = Words(data)

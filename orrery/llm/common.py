@@ -59,6 +59,20 @@ def release() -> None:
         trim(0)
 
 
+#: The operator whose caches this worker holds, and what drops them.
+_owner: tuple[str, Callable[[], None]] = ("", lambda: None)
+
+
+def claim(name: str, drop: Callable[[], None]) -> None:
+    """A worker process is used again by other operators' tasks: it holds the caches of one operator at a time."""
+    from orrery.llm import common  # the worker's module, whatever copy of this function a task brought
+
+    if common._owner[0] != name:
+        common._owner[1]()
+        release()
+    common._owner = (name, drop)
+
+
 #: Bytes of batches that this worker has read since it gave memory back.
 _read_bytes = 0
 
@@ -107,3 +121,9 @@ def ragged_gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     index = np.repeat(starts - (ends - lengths), lengths)
     index += np.arange(total)
     return flat[index]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values

@@ -66,7 +66,7 @@ def test_proven_tokens_are_whole():
 
 
 def test_word_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr(byte_bpe, "CACHE_WORDS", 50)
+    monkeypatch.setattr(byte_bpe.Words, "most_words", 50)
     words = byte_bpe.Words(open(BPE, "rb").read())
     for k in range(4):
         texts = [f"alpha{k} beta{j}, gamma{j * k}." for j in range(40)]
@@ -376,4 +376,4 @@ def test_pieces_of_random_strings():
     ids, counts = transducer.encode_column(pa.array(strings))
     assert ids.tolist() == [i for s in strings for i in sp.encode(s)] and counts.tolist() == [len(sp.encode(s)) for s in strings]
     assert transducer.decode_column(ids, counts).to_pylist() == [sp.decode(sp.encode(s)) for s in strings]
-    assert transducer.decode_column(np.array([transducer.byte_ids[0xE2]]), np.array([1])).to_pylist() == ["�"]
+    assert transducer.decode_column(np.array([transducer.bytes[0xE2]]), np.array([1])).to_pylist() == ["�"]
