@@ -1,15 +1,19 @@
-"""Quality classifier: naive Bayes support vectors over n-grams of word shapes.
-
-A word's token is its shape (runs of letters, digits and marks), joined with whether it repeats the word
-before; short frequent words stand for themselves. Features are indicators: n-grams of up to three tokens,
-and how much of the text each single token makes up, in steps. Indicators are scaled by the log ratio
-of their smoothed counts in either class; a linear hinge-loss model over them is fitted by dual
-coordinate descent, and its margins are mapped to [0, 1] by a logistic curve fitted on other folds.
+"""Quality classifier: naive Bayes support vectors over n-grams of words and of their shapes.
+
+Texts are cut at white space; a line feed is a token of its own, and a word of over PIECE characters is as many
+tokens as it has pieces of that length, so that every character counts. A token's shape has its runs of
+letters by case, its digits as one 0 and its marks as they are, joined with whether the token repeats the
+one before. Features are indicators: n-grams of up to three shapes, words (lower case, digits as one 0) and
+pairs of words, and how much of the text each shape makes up, in steps. Indicators are scaled by the log
+ratio of their smoothed counts in either class (0 for those of a single labelled text); a linear hinge-loss
+model over them is fitted by dual coordinate descent, and its margins are mapped to [0, 1] by a logistic
+curve fitted on other folds.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,34 +23,42 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import list_parts, slices_by_bytes, texts
+from orrery.llm.common import checkpoint, distinct, list_parts, ragged_gather, releasing, slices_by_bytes, texts
 
-#: Hashed features, and the most labelled rows that a model is fitted on.
-DIMENSIONS = 1 << 18
-MOST_ROWS = 12_000
-#: Shares of a text from which a token's share indicators are set.
+#: Hashed features, the most labelled rows that a model is fitted on, and the most features of all these together.
+BITS = 20
+DIMENSIONS = 1 << BITS
+MOST_ROWS, MOST_FEATURES = 12_000, 32_000_000
+#: Characters of a token, and texts' bytes whose features are made at once.
+PIECE, AT_ONCE = 64, 4 << 20
+#: Shares of a text from which a shape's share indicators are set.
 STEPS = (0.02, 0.1, 0.3, 0.6)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_RUNS = ((re.compile(r"[^\W\d_]+"), lambda m: _letters(m[0])), (re.compile(r"\d+"), lambda m: "0"))
+#: White space besides spaces and line feeds, in RE2's syntax.
+OTHER_SPACE = r"[\t\r\x0b\x0c\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 
+class _Kinds(dict):
+    """A character's class, worked out when first met."""
 
-def _letters(run: str) -> str:
-    if run.islower():
-        return "a"
-    if run.isupper():
-        return "A" if len(run) > 1 else "B"
-    return "Aa" if run[1:].islower() else "aA"
+    def __missing__(self, code: int) -> str:
+        kind = unicodedata.category(chr(code))
+        put = "A" if kind in ("Lu", "Lt") else "a" if kind == "Ll" else "o" if kind[0] in "LM" else "0" if kind == "Nd" else chr(code)
+        if len(self) < 1 << 16:
+            self[code] = put
+        return put
 
 
-def shape(word: str) -> str:
-    """Letters by case, digits as one 0, marks as they are; long words by their first 64 characters' shape and a length step."""
-    head = word[:64]
-    for pattern, put in _RUNS:
-        head = pattern.sub(put, head)
-    return head + ("" if len(word) <= 24 else "+" if len(word) <= 64 else "++")
+KINDS = _Kinds()
 
 
-_shapes: dict[str, int] = {}
+def shapes(words: list[str]) -> list[str]:
+    """Runs of small letters as a, of capitals as A (one) or B (more), of other letters as o, of digits as 0; marks
+    as they are; a + after words of over 24 characters. Words hold no space."""
+    joined = " ".join(words).translate(KINDS)
+    for run, put in (("a{2,}", "a"), ("A{2,}", "B"), ("o{2,}", "o"), ("0{2,}", "0")):
+        joined = re.sub(run, put, joined)
+    return [s + "+" if len(w) > 24 else s for s, w in zip(joined.split(" "), words, strict=True)] if words else []
 
 
 def _hash(text: str) -> int:
@@ -55,17 +67,12 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 7)
 
 
-def shape_hashes(words: list[str]) -> np.ndarray:
-    """Hashes of the words' shapes; a bounded cache of them stays in the worker."""
-    if len(_shapes) > 500_000:
-        _shapes.clear()
-    out = []
-    for w in words:
-        h = _shapes.get(w)
-        if h is None:
-            h = _shapes[w] = _hash(shape(w))
-        out.append(h)
-    return np.array(out, np.uint64)
+def hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words' shapes and of the words themselves."""
+    made = shapes(words)
+    of = {s: _hash(s) for s in set(made)}
+    folded = re.sub(r"\d+", "0", " ".join(words).lower()).split(" ") if words else []
+    return np.array([of[s] for s in made], np.uint64), np.array([_hash(w) for w in folded], np.uint64)
 
 
 def mix(*parts: np.ndarray | int) -> np.ndarray:
@@ -78,31 +85,42 @@ def mix(*parts: np.ndarray | int) -> np.ndarray:
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) pairs, distinct and sorted, of a column of texts."""
+    if pc.any(pc.match_substring_regex(column, OTHER_SPACE)).as_py():
+        column = pc.replace_substring_regex(column, OTHER_SPACE, " ")
     lines = pc.replace_substring(column, "\n", " \n ")
     offsets, values = list_parts(pc.split_pattern(lines, " "))
     coded = values.dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    tokens = shape_hashes(coded.dictionary.to_pylist())[codes]
+    del lines, values
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    words = coded.dictionary.to_pylist()
     rows = np.repeat(np.arange(len(column)), np.diff(offsets))
+    if max(map(len, words), default=0) > PIECE:  # long words are read piece by piece
+        cut = [[w[k : k + PIECE] for k in range(0, len(w), PIECE)] or [""] for w in words]
+        many = np.fromiter(map(len, cut), np.int64, len(cut))
+        words, start = [p for x in cut for p in x], np.cumsum(many) - many
+        rows = np.repeat(rows, many[codes])
+        codes = ragged_gather(np.arange(len(words)), start[codes], many[codes])
+    sizes = np.bincount(rows, minlength=len(column))
+    shape, word = (h[codes] for h in hashes(words))
     repeat = np.zeros(len(codes), bool)
     repeat[1:] = (codes[1:] == codes[:-1]) & (rows[1:] == rows[:-1])
+    pairs = lambda r, h: (r.astype(np.uint64) << np.uint64(BITS)) | (h & np.uint64(DIMENSIONS - 1))
+    keyed = []
     with np.errstate(over="ignore"):
-        tokens = np.where(repeat, mix(tokens, 1), tokens)
-        found_rows, found = [rows], [mix(tokens, 11)]
-        for n in (2, 3):
-            if len(tokens) >= n:
+        shape = np.where(repeat, mix(shape, 1), shape)
+        for tokens, most, salt in ((shape, 3, 11), (word, 2, 71)):
+            for n in range(1, most + 1):
                 inside = rows[n - 1 :] == rows[: len(rows) - n + 1]
-                gram = mix(*(tokens[i : len(tokens) - n + 1 + i] for i in range(n)), 11 * n)
-                found_rows.append(rows[n - 1 :][inside])
-                found.append(gram[inside])
-        pairs = lambda r, h: (r.astype(np.uint64) << np.uint64(18)) | (h & np.uint64(DIMENSIONS - 1))
-        single, counts = np.unique(pairs(rows, mix(tokens, 5)), return_counts=True)
-        own = (single >> np.uint64(18)).astype(np.int64)
-        share = counts / np.diff(offsets)[own]
-        keyed = [pairs(r, h) for r, h in zip(found_rows, found, strict=True)]
+                gram = mix(*(tokens[i : len(tokens) - n + 1 + i] for i in range(n)), salt * n)
+                keyed.append(distinct(pairs(rows[n - 1 :][inside], gram[inside])))
+        single = np.sort(pairs(rows, mix(shape, 5)))
+        ends = np.flatnonzero(np.concatenate([single[1:] != single[:-1], np.ones(min(1, len(single)), bool)]))
+        single, counts = single[ends], np.diff(ends, prepend=-1)
+        own = (single >> np.uint64(BITS)).astype(np.int64)
+        share = counts / sizes[own]
         keyed += [pairs(own[share >= s], mix(single[share >= s] & np.uint64(DIMENSIONS - 1), 17 + k)) for k, s in enumerate(STEPS)]
-    both = np.unique(np.concatenate(keyed))
-    return (both >> np.uint64(18)).astype(np.int64), (both & np.uint64(DIMENSIONS - 1)).astype(np.int64)
+    both = distinct(np.concatenate(keyed))
+    return (both >> np.uint64(BITS)).astype(np.int64), (both & np.uint64(DIMENSIONS - 1)).astype(np.int64)
 
 
 @dataclass
@@ -125,14 +143,18 @@ def scale_of(rows: np.ndarray, n: int) -> np.ndarray:
     return np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))
 
 
-def log_count_ratio(indptr: np.ndarray, cols: np.ndarray, y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+def log_count_ratio(indptr: np.ndarray, cols: np.ndarray, y: np.ndarray, smooth: float = 1.0, least: int = 2) -> np.ndarray:
+    """Of each feature; 0 for those of fewer than ``least`` texts, which tell texts apart rather than classes."""
     rows = np.repeat(np.arange(len(y)), np.diff(indptr))
     up, down = (np.bincount(cols[y[rows] == k], minlength=DIMENSIONS) + smooth for k in (1, -1))
-    return np.log(up / up.sum()) - np.log(down / down.sum())
+    return np.where(up + down >= least + 2 * smooth, np.log(up / up.sum()) - np.log(down / down.sum()), 0.0)
+
 
+def dual_coordinate_descent(indptr, cols, values, y, cost: float = 1.0, rounds: int = 20, seed: int = 5, tolerance: float = 0.02) -> tuple[np.ndarray, float]:
+    """Weights and bias of the hinge-loss model; the bias is the weight of a constant feature.
 
-def dual_coordinate_descent(indptr, cols, values, y, cost: float = 1.0, rounds: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias of the hinge-loss model; the bias is the weight of a constant feature."""
+    Rounds end when no coordinate's gradient, as far as its bounds let it move, exceeds the tolerance.
+    """
     w, bias, alpha = np.zeros(DIMENSIONS), 0.0, np.zeros(len(y))
     square = np.array([values[a:b] @ values[a:b] for a, b in zip(indptr[:-1], indptr[1:], strict=True)]) + 1
     # The rarer class costs more, so that both weigh alike.
@@ -140,16 +162,20 @@ def dual_coordinate_descent(indptr, cols, values, y, cost: float = 1.0, rounds:
     most = cost * np.where(y > 0, len(y) / max(2 * n[1], 1), len(y) / max(2 * n[0], 1))
     order = np.random.default_rng(seed)
     for _ in range(rounds):
+        worst = 0.0
         for i in order.permutation(len(y)).tolist():
             a, b = indptr[i], indptr[i + 1]
             c, v = cols[a:b], values[a:b]
             gradient = y[i] * (w[c] @ v + bias) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), most[i])
+            worst = max(worst, abs(new - alpha[i]) * square[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 w[c] += step * v
                 bias += step
                 alpha[i] = new
+        if worst < tolerance:
+            break
     return w, bias
 
 
@@ -207,29 +233,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Fit on at most about ``most_rows`` labelled rows that aren't held out, chosen by a hash of their id.
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, most_features: int = MOST_FEATURES, doc_id: str = "doc_id", text: str = "text"
+) -> Model:
+    """Fit on labelled rows that aren't held out: on at most about ``most_rows``, with about ``most_features`` features together.
 
-    Rows with a null id or label are left out; of labels that disagree on an id, each counts.
+    Where there are more, rows are chosen by a hash. Rows with a null id or label are left out; of labels that
+    disagree on an id, each counts, as does each text of an id; repeated rows count once. Null texts are empty
+    ones. Without labelled rows, or with one class alone, every score is the smoothed rate.
     """
-    usable = labels.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).where(~held_out(F.col("doc_id"))).dropna()
-    n = usable.count()
-    if n > most_rows:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
+    usable = labels.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).where(~held_out(F.col("doc_id"))).dropna().distinct()
+
+    def some(df: DataFrame, n: int, most: int, *key: str) -> DataFrame:
+        return df if n <= most else df.where(F.pmod(F.xxhash64(*key, F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+
+    usable = some(usable, usable.count(), most_rows, "doc_id")
     narrow = texts(docs, doc_id, text=text).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in slices_by_bytes(batch.column(2), 8 << 20):
+            for at, n in slices_by_bytes(batch.column(3), AT_ONCE):
                 part = batch.slice(at, n)
-                indptr, cols = sparse(part.column(2))
+                indptr, cols = sparse(part.column(3))
                 lists = pa.ListArray.from_arrays(pa.array(indptr, pa.int32()), pa.array(cols, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["doc_id", "y", "cols"])
-
-    # The labels kept are at most about most_rows, whatever the table: small enough to broadcast, and
-    # what comes back is as many rows of at most DIMENSIONS distinct integers.
-    learnt = narrow.join(F.broadcast(usable), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id bigint, y int, cols array<int>")
-    table = learnt.toArrow().sort_by("doc_id").combine_chunks()
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], lists], names=["doc_id", "y", "h", "cols"])
+
+    # The labels kept are at most about most_rows, whatever the table: small enough to broadcast.
+    joined = narrow.join(F.broadcast(usable), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h"), "text")
+    made = joined.mapInArrow(releasing(run), "doc_id bigint, y int, h bigint, cols array<int>")
+    learnt = checkpoint(made.groupBy("doc_id", "y", "h").agg(F.first("cols").alias("cols")))
+    n, total = learnt.agg(F.count("*"), F.coalesce(F.sum(F.size("cols")), F.lit(0))).first()
+    kept = some(some(learnt, n, most_rows, "doc_id", "h"), total, most_features, "h", "doc_id")
+    table = kept.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("h", "ascending")]).combine_chunks()
     cols = table["cols"].combine_chunks() if len(table) else pa.array([], pa.list_(pa.int32()))
     offsets, flat = list_parts(cols)
     return fit(offsets, flat.to_numpy().astype(np.int64), table["y"].to_numpy())
@@ -238,29 +273,35 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every row; a null text is scored as an empty one.
 
-    The score depends on the text alone, so equal texts score alike; a null id isn't held out.
+    The score depends on the text alone, so equal texts score alike; a null id isn't held out. Repeated rows come
+    out each; other columns, whatever their names, play no part; an empty table gives no rows.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in slices_by_bytes(batch.column(1), 8 << 20):
+            for at, n in slices_by_bytes(batch.column(1), AT_ONCE):
                 part = batch.slice(at, n)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shipped.value.scores(part.column(1)))], names=["doc_id", "score"])
 
     narrow = texts(docs, doc_id, text=text).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    scored = narrow.mapInArrow(run, "doc_id bigint, score double")
+    scored = narrow.mapInArrow(releasing(run), "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows whose text scores at least ``threshold``, with all their columns."""
+    """The rows whose text scores at least ``threshold``, with all their columns, whatever their names and types.
+
+    A null text is scored as an empty one and stays null; equal texts are kept or dropped together; repeated
+    rows stay each; an empty table gives no rows.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")
-            for at, n in slices_by_bytes(column, 8 << 20):
+            column = pc.fill_null(batch.column(schema.names.index(text)).cast(pa.string()), "")
+            for at, n in slices_by_bytes(column, AT_ONCE):
                 yield batch.slice(at, n).filter(pa.array(shipped.value.scores(column.slice(at, n)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), schema)
