@@ -101,7 +101,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.secrets import find_secrets
 
-    return find_secrets(table(spark, sf_dir, "documents"))
+    return find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
