@@ -23,12 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import checkpoint, distinct, list_parts, ragged_gather, releasing, slices_by_bytes, texts
+from orrery.llm.common import checkpoint, distinct, list_parts, ragged_gather, release, releasing, slices_by_bytes, texts
 
 #: Hashed features, the most labelled rows that a model is fitted on, and the most features of all these together.
 BITS = 20
 DIMENSIONS = 1 << BITS
-MOST_ROWS, MOST_FEATURES = 12_000, 32_000_000
+MOST_ROWS, MOST_FEATURES = 12_000, 8_000_000
 #: Characters of a token, and texts' bytes whose features are made at once.
 PIECE, AT_ONCE = 64, 4 << 20
 #: Shares of a text from which a shape's share indicators are set.
@@ -145,8 +145,7 @@ def scale_of(rows: np.ndarray, n: int) -> np.ndarray:
 
 def log_count_ratio(indptr: np.ndarray, cols: np.ndarray, y: np.ndarray, smooth: float = 1.0, least: int = 2) -> np.ndarray:
     """Of each feature; 0 for those of fewer than ``least`` texts, which tell texts apart rather than classes."""
-    rows = np.repeat(np.arange(len(y)), np.diff(indptr))
-    up, down = (np.bincount(cols[y[rows] == k], minlength=DIMENSIONS) + smooth for k in (1, -1))
+    up, down = (np.bincount(cols[np.repeat(y == k, np.diff(indptr))], minlength=DIMENSIONS) + smooth for k in (1, -1))
     return np.where(up + down >= least + 2 * smooth, np.log(up / up.sum()) - np.log(down / down.sum()), 0.0)
 
 
@@ -181,8 +180,8 @@ def dual_coordinate_descent(indptr, cols, values, y, cost: float = 1.0, rounds:
 
 def fit_rows(indptr, cols, y) -> tuple[np.ndarray, float]:
     ratio = log_count_ratio(indptr, cols, y)
-    size = np.sqrt(np.maximum(np.diff(indptr), 1))
-    w, bias = dual_coordinate_descent(indptr, cols, ratio[cols] / np.repeat(size, np.diff(indptr)), y)
+    size = np.sqrt(np.maximum(np.diff(indptr), 1)).astype(np.float32)
+    w, bias = dual_coordinate_descent(indptr, cols, ratio.astype(np.float32)[cols] / np.repeat(size, np.diff(indptr)), y)
     return w * ratio, bias
 
 
@@ -214,7 +213,6 @@ def fit(indptr: np.ndarray, cols: np.ndarray, labels: np.ndarray, folds: int = 3
     rate = ((y > 0).sum() + 1) / (len(y) + 2)
     if len(y) < 2 * folds or abs(y.sum()) == len(y):
         return Model(np.zeros(DIMENSIONS), 0.0, 1.0, float(np.log(rate / (1 - rate))))
-    rows = np.repeat(np.arange(len(y)), np.diff(indptr))
     fold, margins = np.arange(len(y)) % folds, np.zeros(len(y))
 
     def part(mask: np.ndarray):
@@ -224,7 +222,9 @@ def fit(indptr: np.ndarray, cols: np.ndarray, labels: np.ndarray, folds: int = 3
 
     for k in range(folds):
         w, bias = fit_rows(*part(fold != k))
-        margins += np.where(fold == k, np.bincount(rows, w[cols], len(y)) / scale_of(rows, len(y)) + bias, 0)
+        for i in np.flatnonzero(fold == k).tolist():
+            own = cols[indptr[i] : indptr[i + 1]]
+            margins[i] = w[own].sum() / np.sqrt(max(len(own), 1)) + bias
     return Model(*fit_rows(indptr, cols, y), *logistic(margins, y))
 
 
@@ -265,9 +265,10 @@ def train(
     n, total = learnt.agg(F.count("*"), F.coalesce(F.sum(F.size("cols")), F.lit(0))).first()
     kept = some(some(learnt, n, most_rows, "doc_id", "h"), total, most_features, "h", "doc_id")
     table = kept.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("h", "ascending")]).combine_chunks()
+    release()
     cols = table["cols"].combine_chunks() if len(table) else pa.array([], pa.list_(pa.int32()))
     offsets, flat = list_parts(cols)
-    return fit(offsets, flat.to_numpy().astype(np.int64), table["y"].to_numpy())
+    return fit(offsets, flat.to_numpy(), table["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
