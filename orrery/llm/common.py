@@ -127,3 +127,28 @@ def distinct(values: np.ndarray) -> np.ndarray:
     """Sorted, without repeats."""
     values = np.sort(values)
     return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
+    """The runs of rows with equal values in the first ``n_keys`` integer columns, which the rows are sorted by."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> pa.RecordBatch:
+        return pa.concat_batches(held) if len(held) > 1 else held[0]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = [batch.column(k).to_numpy() for k in range(n_keys)]
+        cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        edges = [0, *cuts.tolist(), len(batch)]
+        if held and any(held[-1].column(k)[-1].as_py() != keys[k][0] for k in range(n_keys)):
+            yield whole()
+            held = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a:
+                yield whole()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()

@@ -1,7 +1,9 @@
 """Connected components of a large graph, by alternating large and small stars.
 
 Each round is two joins on a node's least neighbour. Counts and hashes of the edges tell when nothing
-changes; edges are written to the shared folder each round, which cuts the lineage.
+changes; edges are written to the shared folder each round, which cuts the lineage. A hub's edges are far
+more than a task should hold: least neighbours are dealt out once more, so that both sides of a join come
+from plain exchanges and adaptive execution can split the hub's side.
 """
 
 from __future__ import annotations
@@ -17,15 +19,20 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row.n, row.h or 0
 
 
+def splittable(small: DataFrame, key: str) -> DataFrame:
+    """One row for each key, from an aggregate: dealt out again, so that a join's other side may be split by skew."""
+    return small.repartition(F.xxhash64(key))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = splittable(both.groupBy("u").agg(F.min("v").alias("m")), "u")
     met = both.join(least, "u").where("v > u")
     return met.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = splittable(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
     met = edges.join(least, "u")
     return met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

@@ -3,9 +3,9 @@
 A fingerprint is cut into six blocks of bits. Two that differ in at most four bits agree in two blocks
 at least, so each is listed under its fifteen pairs of blocks. Fingerprints that share such a key meet,
 sorted, in one pass that verifies their Hamming distance and links each cluster by a spanning tree: the
-rows that come out are as many as fingerprints, not pairs. A key with more fingerprints than fit is
-passed on, and its members are linked through all values within half the distance instead, whose
-groups are small whatever the data: two fingerprints within four bits share a value within two of both.
+rows that come out are as many as fingerprints, not pairs. Keys are counted first. The members of one with
+more fingerprints than fit never meet in a task: they are linked through all values within half the
+distance instead, since two fingerprints within four bits share a value within two of both.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import checkpoint, texts
-from orrery.llm.components import components
+from orrery.llm.common import checkpoint, releasing, texts
+from orrery.llm.components import components, splittable
 
 BITS, DISTANCE = 64, 4
 #: Blocks and how many of them two linked fingerprints must share: BLOCKS - DISTANCE.
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
     narrow = texts(docs, doc_id, text=text).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
+    return narrow.mapInArrow(releasing(run), "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def spanning(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,18 +83,16 @@ def spanning(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left + none), np.concatenate(right + none)
 
 
-def link_runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, fp) to edges (a, b); for keys with more than ``most`` members, (fp, null)."""
+def link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, fp), of keys whose members fit, to edges (a, b)."""
     held_key: int | None = None
     held: list[np.ndarray] = []
-    n_held, hot = 0, False
 
     def out(a, b) -> pa.RecordBatch:
-        signed = lambda x: pa.array(x.view(np.int64))
-        return pa.RecordBatch.from_arrays([signed(a), pa.nulls(len(a), pa.int64()) if b is None else signed(b)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
 
     def settle() -> Iterator[pa.RecordBatch]:
-        if n_held > 1 and not hot:
+        if sum(map(len, held)) > 1:
             a, b = spanning(np.concatenate(held))
             if len(a):
                 yield out(a, b)
@@ -118,21 +116,11 @@ def link_runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
             key = int(keys[a])
             if key != held_key:
                 yield from settle()
-                held_key, held, n_held, hot = key, [], 0, False
-            part = fps[a:b]
-            n_held += len(part)
-            if not hot and n_held > most:
-                hot = True
-                for x in held:
-                    yield out(x, None)
-                held = []
-            if hot:
-                yield out(part, None)
-            else:
-                held.append(part)
+                held_key, held = key, []
+            held.append(fps[a:b])
             if r not in (0, last):
                 yield from settle()
-                held_key, held, n_held, hot = None, [], 0, False
+                held_key, held = None, []
     yield from settle()
 
 
@@ -148,15 +136,19 @@ def block_keys(fp: str):
 
 def links(fps: DataFrame, most_in_key: int = MOST_IN_KEY) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect all that lie within DISTANCE of each other."""
-    listed = fps.select(F.explode(block_keys("fp")).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    found = checkpoint(listed.mapInArrow(lambda batches: link_runs(batches, most_in_key), "a bigint, b bigint"))
+    listed = fps.select(F.explode(block_keys("fp")).alias("key"), "fp")
+    hot = checkpoint(listed.groupBy("key").count().where(F.col("count") > most_in_key).select("key"))
+    crowded = not hot.isEmpty()
+    rest = listed.join(hot, "key", "left_anti") if crowded else listed
+    dealt = rest.repartition("key").sortWithinPartitions("key", "fp")
+    edges = checkpoint(dealt.mapInArrow(releasing(link_runs), "a bigint, b bigint"))
+    if not crowded:
+        return edges
     masks = [0, *(1 << i for i in range(BITS)), *(1 << i | 1 << j for i, j in combinations(range(BITS), 2))]
     around = F.array(*(F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("bigint") for m in masks))
-    edges = found.where("b is not null")
-    hot = found.where("b is null").select("a").distinct()
-    if hot.isEmpty():
-        return edges
-    near = hot.select("a", F.explode(F.transform(around, lambda m: m.bitwiseXOR(F.col("a")))).alias("g"))
+    members = checkpoint(listed.join(hot, "key", "left_semi").select(F.col("fp").alias("a")).distinct())
+    near = members.select("a", F.explode(F.transform(around, lambda m: m.bitwiseXOR(F.col("a")))).alias("g"))
+    # A value is within two bits of 2,081 others at most, so its group is small whatever the data.
     stars = near.select("a", F.min("a").over(Window.partitionBy("g")).alias("b")).where("a <> b").distinct()
     return edges.unionByName(stars)
 
@@ -167,25 +159,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Words are runs of non-space characters with A-Z lower-cased, shingles ``size`` words with repeats
     (a shorter text is one shingle; a null, empty or blank one has fingerprint zero and is linked like any
     other). component_id is the least doc_id that links reach; null where all those ids are null.
-    Equal rows come out each. Equal texts meet as one fingerprint before anything is compared.
+    Equal rows come out each; other columns, whatever their names, play no part; an empty table gives no
+    rows. Equal texts meet as one fingerprint before anything is compared.
     """
     rows = checkpoint(fingerprints(docs, doc_id, text, size))
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(fps.select("fp"), most_in_key))
     placed = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = splittable(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     of_fp = placed.join(named, "root").select("fp", "component_id")
     joined = rows.join(of_fp, "fp")
     return joined.select("doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, one of each component: least doc_id (null last), then least hash of the text."""
+    """The rows of ``docs``, one of each component, with all their columns, whatever their names.
+
+    It is the row of least doc_id (null last), then of the least hash of the text, then of the least hash of all
+    columns (maps aside); of rows equal in all that, any one. Null and empty texts are alike; a component
+    without any id keeps one row too; an empty table gives no rows. The text goes through one shuffle, copies
+    of a row folded before it.
+    """
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
     # A group without any id has no component_id; its fingerprint stands for it.
     group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
-    kept = found.groupBy(group.alias("g")).agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")).distinct()
-    hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    joined = hashed.join(kept, F.col(doc_id).cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")))
-    first = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(0)))
-    return joined.withColumn("__n", first).where("__n = 1").select(*docs.columns)
+    kept = found.groupBy(group.alias("g")).agg(F.min(order).alias("k")).select("k.z", F.coalesce("k.doc_id", F.lit(0)).alias("i"), F.col("k.text_hash").alias("h")).distinct()
+    column = lambda c: F.col(f"`{c}`")
+    whole = [column(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    number = column(doc_id).cast("bigint")
+    keyed = docs.select(
+        number.isNull().alias("z"), F.coalesce(number, F.lit(0)).alias("i"), F.xxhash64(F.coalesce(column(text).cast("string"), F.lit(""))).alias("h"),
+        F.xxhash64(*whole).alias("least"), F.struct(*(column(c) for c in docs.columns)).alias("row"),
+    )
+    one = keyed.groupBy("z", "i", "h").agg(F.min_by("row", "least").alias("row"))
+    return one.join(kept, ["z", "i", "h"], "left_semi").select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from orrery.llm import alike
+from orrery.llm import alike, common
 from orrery.llm.simhash import keep_one
 
 
@@ -49,7 +50,7 @@ def rows():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("limits", [{}, {"most_in_key": 2}, {"most_in_key": 2, "most_in_part": 500, "sample": 1}])
+@pytest.mark.parametrize("limits", [{}, {"most_in_key": 2}, {"most_in_part": 300}, {"most_in_key": 2, "most_in_part": 500, "sample": 1}])
 def test_groups_are_those_of_all_pairs(spark, rows, limits):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = keep_one(docs, alike.similar_groups(docs, **limits))
@@ -66,3 +67,25 @@ def test_stage_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     kept = corpus_pipeline.near_duplicate(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == brute_kept(sorted((r.doc_id, r.text) for r in docs.collect()))
+
+
+def test_runs_over_batches():
+    keys = [1, 1, 1, 2, 3, 3, 4, 4, 4, 4, 5]
+    whole = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([7] * 11), pa.array(range(11))], names=["a", "b", "c"])
+    for cuts in ([], [1], [3], [3, 4], [0, 2, 5, 5, 8], list(range(11))):
+        edges = [0, *cuts, 11]
+        parts = [whole.slice(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        assert [r.column(2).to_pylist() for r in common.runs(iter(parts), 2)] == [[0, 1, 2], [3], [4, 5], [6, 7, 8, 9], [10]]
+
+
+def test_awkward_rows(spark):
+    long = " ".join(str(k % 9973) for k in range(60_000))
+    rows = [(None, "a b c d e f", "x", 1), (None, "a b c d e f", "y", 2), (3, None, "x", None), (2, "", None, 1), (2, "", None, 1), (5, long, "x", 1), (4, long, "x", 2), (4, long, "w", 2), (6, "日本語" * 50, "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, component_id string, `h` int")
+    kept = corpus_pipeline.near_duplicate(spark, docs, "")
+    assert kept.schema == docs.schema
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id if r.doc_id is not None else None) for r in kept.collect())
+    assert [g[:2] for g in got] == [(False, 2), (False, 4), (False, 6), (True, 0)] and kept.where("doc_id = 4").count() == 1
+    again = corpus_pipeline.near_duplicate(spark, docs.repartition(5), "")
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, kept.collect()))
+    assert corpus_pipeline.near_duplicate(spark, docs.limit(0), "").count() == 0

@@ -163,7 +163,7 @@ def test_runs_over_batches():
     keys = np.repeat([1, 2, 3, 4], [1, 30, 2, 7])
     whole = [pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps)], names=["key", "fp"])]
     cut = [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(fps[a:b])], names=["key", "fp"]) for a, b in pairwise([0, 1, 2, 20, 32, 33, 40])]
-    edges = [sorted((min(p), max(p)) for b in simhash.link_runs(iter(x), 100) for p in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True)) for x in (whole, cut)]
+    edges = [sorted((min(p), max(p)) for b in simhash.link_runs(iter(x)) for p in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True)) for x in (whole, cut)]
     joined = [brute_groups(e) for e in edges]
     assert joined[0] == joined[1]
 
