@@ -282,20 +282,44 @@ def brute_hits(text, items):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(found) >= 2
 
 
-@pytest.mark.parametrize("size", [16 << 20, 60])
+@pytest.mark.parametrize("size", [128 << 20, 1000])
 def test_decontamination(spark, size):
     passage = "one two three four five six seven eight nine ten"
     items = [("10", passage), ("9", "Short item."), (None, "null id"), ("9", "Short item."), ("7", None), ("6", "..."), ("5", "été 1 ΑΒ")]
     texts = [f"x {passage.upper()}! y", passage + " " + passage, "one two three four five six seven", "a short ITEM and null-id", None, "", "été 1 ΑΒ", "short", "eight " * 30, f"x {passage.upper()}! y"]
     df = spark.createDataFrame([(k, t, "z") for k, t in enumerate(texts)], "doc_id bigint, text string, item_id string")
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.decontaminate(df, bench, broadcast_bytes=size).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.decontaminate(df, bench, table_bytes=size).collect()}
     assert got == {k: brute_hits(t, items) for k, t in enumerate(texts)}
-    kept = decontaminate.drop_contaminated(df, bench, broadcast_bytes=size).collect()
+    kept = decontaminate.drop_contaminated(df, bench, table_bytes=size).collect()
     assert sorted(r.doc_id for r in kept) == [k for k, t in enumerate(texts) if brute_hits(t, items)[2] == 0]
     assert decontaminate.decontaminate(df, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_windows_of_random_words():
+    """Few words, so that blocks and windows repeat within items, between them and in the texts."""
+    import random
+
+    dice = random.Random(9)
+    text = lambda n: " ".join(dice.choices(["a", "b", "c", "dd"], k=n))
+    items = [(str(k), text(dice.choice((0, 1, 2, 3, 7, 8, 9, 15)))) for k in range(30)]
+    tables = decontaminate.matchers([(i, t.encode()) for i, t in items], 8)
+    for n in (0, 1, 5, 8, 40, 200):
+        words = text(n)
+        spans, found = decontaminate.hits(decontaminate.words_of(words.encode()), tables)
+        assert (sum(b - a for a, b in spans), len(found)) == brute_hits(words, items)[1:3]
+
+
+def test_tables_take_the_bytes_that_bound_them():
+    import random
+
+    dice = random.Random(2)
+    items = [(str(k), " ".join(dice.choices("abcdefghijklmnopqrstuvwxyz", k=3000)).encode()) for k in range(20)]
+    tables = decontaminate.matchers(items, 8)
+    size = sum(len(t) for _, t in items)
+    assert sum(t.nbytes for t in tables) + len(tables[0].text) <= decontaminate.BYTES_FOR_ONE * size
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 12))
