@@ -59,10 +59,38 @@ def test_piece_counts_match_the_library(docs):
     assert sorted(((r.doc_id, r.n_tokens) for r in got), key=key) == sorted(((i, len(sp.encode(t or ""))) for i, t, *_ in ROWS), key=key)
 
 
-def test_proven_tokens_are_whole():
-    counter = token_counts.Counter.of(open(BPE, "rb").read())
-    some = list(counter.whole)[::500]
-    assert all(len(x) == 1 for x in counter.words.encode(some))
+@pytest.mark.parametrize("path", [BPE, PIECES])
+def test_proven_tokens_are_whole(path):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    some = sorted(token_counts.proven(path))[::50]
+    assert len(some) > 400
+    if path == BPE:
+        assert all(len(x.ids) == 1 for x in Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False))
+    else:
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        assert all(len(sp.encode(x[1:])) == 1 for x in some if x[:1] == " ")
+
+
+@pytest.mark.parametrize("path", [BPE, PIECES])
+def test_counts_of_random_texts(spark, path):
+    import random
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    dice = random.Random(12)
+    words = ["the", "of", "Straße", "x1", "don't", "日本", "....", "a,b", "é", "\n", "  ", "token.", "ing", "<s>", "▁"]
+    strings = ["".join(dice.choice(words) + dice.choice(["", " ", " ", "\n"]) for _ in range(dice.randint(0, 30))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(strings)), "doc_id bigint, text string")
+    got = [r.n_tokens for r in token_counts.count_tokens(docs, path).orderBy("doc_id").collect()]
+    if path == BPE:
+        tok = Tokenizer.from_file(path)
+        assert got == [len(x.ids) for x in tok.encode_batch(strings, add_special_tokens=False)]
+    else:
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        assert got == [len(sp.encode(s)) for s in strings]
 
 
 def test_word_cache_starts_anew(monkeypatch):
