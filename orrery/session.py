@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from orrery.errors import PlanError
+
 #: ANSI on: overflow is an error. Naive timestamps are read as UTC. Recursion is bounded.
 SETTINGS = {
     "spark.sql.ansi.enabled": "true",
@@ -14,21 +16,42 @@ SETTINGS = {
     "spark.sql.cteRecursionLevelLimit": "1000",
 }
 
-#: Where checkpoints go when the session names no folder (tests on one machine).
+#: Where checkpoints go when the session names no folder and runs on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/orrery"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or a local one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The cluster's shared folder: spark.checkpoint.dir. Only a session of one process may leave that unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise PlanError(f"spark.checkpoint.dir is unset: executors of {master} need a folder that all of them see")
+        folder = LOCAL_CHECKPOINTS
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in a folder of the application's own that goes when the application ends."""
+    own = f"{shared_dir(spark)}/orrery-{spark.sparkContext.applicationId}"
+    path, files = _path(spark, own)
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    path, files = _path(spark, folder)
+    files.delete(path, True)
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -39,5 +62,6 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", shuffle_partitions)
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     builder = builder.config("spark.driver.memory", memory).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     return configure(builder.getOrCreate())
