@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.byte_bpe import Words
-from orrery.llm.common import checkpoint, releasing, scratch, ship, slices_by_bytes, texts
+from orrery.llm.common import checkpoint, releasing, ship, slices_by_bytes, texts
+from orrery.session import scratch
 
 BLOCK = 128
 PERCENTILE = 90
