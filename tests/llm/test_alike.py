@@ -89,3 +89,24 @@ def test_awkward_rows(spark):
     again = corpus_pipeline.near_duplicate(spark, docs.repartition(5), "")
     assert sorted(map(repr, again.collect())) == sorted(map(repr, kept.collect()))
     assert corpus_pipeline.near_duplicate(spark, docs.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("most", [3, 100])
+def test_memberships_over_batches(most):
+    dice = random.Random(4)
+    keys = sorted(k for k in range(60) for _ in range(dice.choice((1, 1, 2, 3, 5, 9))))
+    h = [dice.randrange(-(2**62), 2**62) for _ in keys]
+    rows = sorted(zip(keys, h, strict=True))
+    whole = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([x for _, x in rows])], names=["key", "h"])
+    groups = [[x for k, x in rows if k == key] for key in sorted(set(keys))]
+    want = sorted(sorted(g) for g in groups if len(g) > 1)
+    for cuts in ([], [5, 6, 7], sorted(dice.sample(range(len(rows)), 20)), list(range(len(rows)))):
+        edges = [0, *cuts, len(rows)]
+        parts = [whole.slice(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        found = {}
+        for batch in alike.memberships(iter(parts), most):
+            for who, x, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                assert (who is None) != (least is None)
+                found.setdefault((who, least), []).append(x)
+        assert sorted(map(sorted, found.values())) == want
+        assert all((who is None) == (len(g) > most) and (least is None or least == min(g)) for (who, least), g in found.items())
