@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from orrery.errors import CapExceeded, PlanError, TypeMismatch
 from orrery.plans import recursive
-from orrery.plans.rewrite import parsed, written
+from orrery.plans.rewrite import parsed, tokens, written
 from orrery.session import configure
 
 #: Rows that a client gets at most.
@@ -106,9 +107,10 @@ class Engine:
         return self
 
     def sql(self, text: str) -> DataFrame:
-        for name in [n for n in self.lazy if n in text]:
+        words = {t.strip("`") for t in tokens(text)}
+        for name in [n for n in self.lazy if n in words]:
             self.table(name)
-        nodes = parsed(text, self._types(text))
+        nodes = parsed(text, self._types(words), self._columns)
         found = recursive.run(self.spark, nodes)
         found = set_apart(self.spark.sql(written(nodes)) if found is None else found)
         for rule in self.rewrites:
@@ -118,11 +120,18 @@ class Engine:
             found = made
         return found
 
-    def _types(self, text: str) -> dict[str, str]:
+    def _columns(self, text: str) -> list[tuple[str, str]] | None:
+        """Names and types of a query's columns, by analysis alone; None if it can't be analysed by itself."""
+        try:
+            return self.spark.sql(text).dtypes
+        except (AnalysisException, ParseException):
+            return None
+
+    def _types(self, words: set[str]) -> dict[str, str]:
         """Types of the columns of the tables that the text names; a name with several types is left out."""
         found: dict[str, set[str]] = {}
         for name, df in self.tables.items():
-            if name in text:
+            if name in words:
                 for c, kind in df.dtypes:
                     found.setdefault(c.lower(), set()).add(kind)
         return {c: next(iter(kinds)) for c, kinds in found.items() if len(kinds) == 1}
