@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -110,3 +111,31 @@ def test_memberships_over_batches(most):
                 found.setdefault((who, least), []).append(x)
         assert sorted(map(sorted, found.values())) == want
         assert all((who is None) == (len(g) > most) and (least is None or least == min(g)) for (who, least), g in found.items())
+
+
+def test_parities_never_rule_out_what_is_alike():
+    """Sets of many sizes, sizes on either side of a power of two among them."""
+    dice = random.Random(6)
+    rows = []
+    for n in (1, 2, 3, 50, 63, 64, 65, 127, 128, 129, 1000):
+        base = [dice.randrange(-(2**62), 2**62) for _ in range(n)]
+        for change in (0, n // 20, n // 12, n // 9, n // 3):
+            rows.append(np.unique(base[change:] + [dice.randrange(-(2**62), 2**62) for _ in range(change // 2)]) if n > change else np.array(base))
+    bits = [alike.parities(r) for r in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(rows)), pa.array(range(len(rows))), pa.array([len(r) for r in rows], pa.int32()), pa.array(bits, pa.binary())], names=["who", "h", "n", "bits"])
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for out in alike.may_be_alike(iter([batch]), 0.8):
+        for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+            root[find(a)] = find(b)
+    sets = [set(r.tolist()) for r in rows]
+    alike_pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike_pairs) > 30 and all(find(i) == find(j) for i, j in alike_pairs)
+    far = [alike.parities(np.array([dice.randrange(-(2**62), 2**62) for _ in range(n)])) for n in (300, 300, 3000, 3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 2, 2]), pa.array([1, 2, 3, 4]), pa.array([300, 300, 3000, 3000], pa.int32()), pa.array(far, pa.binary())], names=["who", "h", "n", "bits"])
+    assert not list(alike.may_be_alike(iter([batch]), 0.8))
