@@ -27,6 +27,22 @@ def modulo(a: Column, b: Column) -> Column:
     return a % F.nullif(b, F.lit(0))
 
 
+def wrapping(op: str, a: Column, b: Column, kind: str = "bigint") -> Column:
+    """``+``, ``-`` or ``*`` of integers in two's complement of the kind's width, without overflow errors."""
+    wide = lambda x: x.cast("decimal(19,0)")
+    made = {"+": lambda: wide(a) + wide(b), "-": lambda: wide(a) - wide(b), "*": lambda: wide(a) * wide(b)}
+    if op not in made:
+        raise SqlError(f"no operator {op!r}")
+    span, half = (F.lit(str(2**n)).cast("decimal(20,0)") for n in (WIDTH[kind], WIDTH[kind] - 1))
+    rest = made[op]().cast("decimal(38,0)") % span
+    return F.when(rest >= half, rest - span).when(rest < -half, rest + span).otherwise(rest).cast(kind)
+
+
+def concat_ws(separator: str, *texts: Column) -> Column:
+    """Texts joined by the separator; null ones are left out."""
+    return F.concat_ws(separator, *texts)
+
+
 def decimal_divide(a: Column, b: Column, precision: int, scale: int) -> Column:
     """A quotient truncated to the scale; NULL at zero."""
     wide = a.cast("decimal(38,12)") / F.nullif(b.cast("decimal(38,12)"), F.lit(0).cast("decimal(38,12)"))

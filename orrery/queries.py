@@ -16,6 +16,7 @@ from orrery.operators import recursion
 from orrery.operators import relational as rel
 from orrery.plans import ingest, substrait
 from orrery.plans.builder import Builder
+from orrery.session import scratch
 from orrery.sources.engine import Engine
 from orrery.streaming import bounded
 
@@ -55,7 +56,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "lateral_left": ("SELECT r_regionkey, t.n_name FROM region LEFT JOIN LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey > 20) AS t ON true", None),
     "exists": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", None),
     "not_exists": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", None),
-    "correlated_scalar": ("SELECT l_orderkey, l_linenumber FROM lineitem AS a WHERE l_quantity > (SELECT AVG(l_quantity) FROM lineitem AS b WHERE b.l_partkey = a.l_partkey) AND l_linenumber = 1", None),
+    "correlated_scalar": ("SELECT l_orderkey, l_linenumber FROM lineitem AS a WHERE l_quantity > (SELECT AVG(l_quantity) FROM lineitem AS b WHERE b.l_partkey = a.l_partkey)", None),
     "scalar_subquery": ("SELECT o_orderkey, (SELECT COUNT(*) FROM region) AS n FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders)", None),
     "in_subquery": ("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)", None),
     "not_in_null": ("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT NULLIF(r_regionkey, 2) FROM region)", None),
@@ -96,7 +97,8 @@ SQL: dict[str, tuple[str, str | None]] = {
     "top_n": ("SELECT TOP 9 o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 9"),
     "for_update": ("SELECT r_name FROM region FOR UPDATE", "SELECT r_name FROM region"),
     "distinct": ("SELECT DISTINCT l_returnflag, l_linestatus, NULLIF(l_linenumber, 1) AS k FROM lineitem", None),
-    "distinct_on": ("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey LIMIT 50", None),
+    "distinct_on": ("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey", None),
+    "distinct_on_limit": ("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey LIMIT 50", None),
     "union_all": ("SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region", None),
     "union": ("SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey + 3 FROM region", None),
     "except": ("SELECT n_nationkey AS k FROM nation EXCEPT SELECT r_regionkey FROM region", None),
@@ -112,11 +114,23 @@ SQL: dict[str, tuple[str, str | None]] = {
     "join_collisions": ("SELECT * FROM (SELECT n_nationkey AS id, n_name AS name FROM nation) AS a JOIN (SELECT r_regionkey AS id, r_name AS name FROM region) AS b ON a.id = b.id", 'SELECT n_nationkey AS id, n_name AS name, r_regionkey AS "right.id", r_name AS "right.name" FROM nation JOIN region ON n_nationkey = r_regionkey'),
     "case_forms": ("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 40 THEN 'high' WHEN l_quantity > 20 THEN 'mid' END AS a, CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END AS b FROM lineitem", None),
     "coalesce_nullif": ("SELECT l_orderkey, l_linenumber, COALESCE(NULLIF(l_linenumber, 1), NULLIF(l_linenumber, 2), 9) AS k FROM lineitem", None),
-    "casts": ("SELECT CAST(l_linenumber AS DOUBLE) AS a, CAST(l_quantity AS BIGINT) AS b, CAST(l_linenumber > 3 AS INT) AS c, CAST(CAST(l_tax AS DECIMAL(10,2)) AS DOUBLE) AS d FROM lineitem WHERE l_quantity = 7", None),
+    "casts": ("SELECT CAST(l_linenumber AS DOUBLE) AS a, CAST(l_quantity AS BIGINT) AS b, CAST(l_linenumber > 3 AS INT) AS c, CAST(CAST(l_tax AS DECIMAL(10,2)) AS DOUBLE) AS d FROM lineitem", None),
     "safe_cast": ("SELECT SAFE_CAST(c_mktsegment AS INT) AS a, SAFE_CAST('12' AS INT) AS b, COUNT(*) AS n FROM customer GROUP BY SAFE_CAST(c_mktsegment AS INT)", "SELECT TRY_CAST(c_mktsegment AS INT) AS a, TRY_CAST('12' AS INT) AS b, COUNT(*) AS n FROM customer GROUP BY TRY_CAST(c_mktsegment AS INT)"),
     "cast_format": ("SELECT DISTINCT CAST(o_orderdate AS STRING FORMAT 'YYYY/MM/DD HH24:MI') AS s, CAST(' 2024-03-05 ' AS DATE FORMAT 'YYYY-MM-DD') AS d FROM orders", "SELECT DISTINCT strftime(o_orderdate, '%Y/%m/%d %H:%M') AS s, DATE '2024-03-05' AS d FROM orders"),
     "integer_division": ("SELECT l_orderkey, l_linenumber, l_orderkey / l_linenumber AS a, l_orderkey / (l_linenumber - 2) AS b, -l_orderkey * 3 / 2 AS c, l_orderkey % (l_linenumber - 1) AS d FROM lineitem", "SELECT l_orderkey, l_linenumber, l_orderkey // l_linenumber AS a, CAST(trunc(l_orderkey / nullif(l_linenumber - 2, 0)) AS BIGINT) AS b, CAST(trunc(-l_orderkey * 3 / 2) AS BIGINT) AS c, l_orderkey % nullif(CAST(l_linenumber - 1 AS BIGINT), 0) AS d FROM lineitem"),
     "average_by_division": ("SELECT l_returnflag, SUM(l_linenumber) / COUNT(*) AS a, ROUND(SUM(l_quantity) / COUNT(*), 6) AS b FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(SUM(l_linenumber) // COUNT(*) AS BIGINT) AS a, ROUND(SUM(l_quantity) / COUNT(*), 6) AS b FROM lineitem GROUP BY l_returnflag"),
+    "division_derived": ("SELECT d.k / d.n AS q, d.k % d.n AS r, d.s / d.n AS f FROM (SELECT l_orderkey AS k, COUNT(*) AS n, SUM(l_linenumber) AS s FROM lineitem GROUP BY l_orderkey) AS d", "SELECT d.k // d.n AS q, d.k % d.n AS r, CAST(d.s // d.n AS BIGINT) AS f FROM (SELECT l_orderkey AS k, COUNT(*) AS n, SUM(l_linenumber) AS s FROM lineitem GROUP BY l_orderkey) AS d"),
+    "division_cte": ("WITH w AS (SELECT o_custkey AS c, COUNT(*) AS n, SUM(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT c / 7 AS b, SUM(n) / COUNT(*) AS n, ROUND(SUM(s / n), 2) AS s FROM w GROUP BY c / 7", "WITH w AS (SELECT o_custkey AS c, COUNT(*) AS n, SUM(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT c // 7 AS b, CAST(SUM(n) // COUNT(*) AS BIGINT) AS n, ROUND(SUM(s / n), 2) AS s FROM w GROUP BY c // 7"),
+    "shifts_sql": ("SELECT l_orderkey, l_linenumber, l_orderkey << 70 AS a, l_linenumber >> 40 AS b, l_linenumber << l_linenumber AS c, (0 - l_orderkey) >> l_linenumber AS d, (0 - l_orderkey) >> 64 AS e, l_orderkey << l_linenumber - 8 AS f FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(0 AS BIGINT) AS a, 0 AS b, CAST(l_linenumber << l_linenumber AS INTEGER) AS c, CAST(floor((0 - l_orderkey) / pow(2, l_linenumber)) AS BIGINT) AS d, CAST(CASE WHEN l_orderkey > 0 THEN -1 ELSE 0 END AS BIGINT) AS e, CAST(0 AS BIGINT) AS f FROM lineitem"),
+    "date_trunc_sql": ("SELECT o_orderkey, DATE_TRUNC('month', o_orderdate) AS m, DATE_TRUNC('year', CAST(o_orderdate AS DATE)) AS y, CAST(o_orderdate AS DATE) - DATE '1995-01-01' AS n, o_orderdate - TIMESTAMP '1995-01-01 00:00:00' AS u FROM orders", "SELECT o_orderkey, date_trunc('month', o_orderdate)::TIMESTAMP AS m, CAST(date_trunc('year', CAST(o_orderdate AS DATE)) AS DATE) AS y, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT) AS n, epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1995-01-01') AS u FROM orders"),
+    "join_using_sql": ("SELECT * FROM (SELECT n_regionkey AS k, n_name FROM nation) AS a LEFT JOIN (SELECT r_regionkey + 1 AS k, r_name FROM region) AS b USING (k)", 'SELECT a.k, n_name, b.k AS "right.k", r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) AS a LEFT JOIN (SELECT r_regionkey + 1 AS k, r_name FROM region) AS b ON a.k = b.k'),
+    "join_natural_sql": ("SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) AS a NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) AS b WHERE k > 0", None),
+    "grouping_id_subset": ("SELECT l_returnflag, l_linestatus, GROUPING_ID(l_linestatus) AS a, GROUPING_ID(l_linestatus, l_returnflag) AS b, COUNT(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", "SELECT l_returnflag, l_linestatus, CAST(GROUPING_ID(l_linestatus) AS BIGINT) AS a, CAST(GROUPING_ID(l_linestatus, l_returnflag) AS BIGINT) AS b, COUNT(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)"),
+    "union_coercion": ("SELECT l_linenumber AS v FROM lineitem UNION SELECT l_tax FROM lineitem", None),
+    "recursive_nonlinear_all_sql": ("WITH RECURSIVE e AS (SELECT n_nationkey AS src, n_regionkey + 100 AS dst FROM nation UNION ALL SELECT r_regionkey + 100, 1000 FROM region), r AS (SELECT src, dst FROM e UNION ALL SELECT a.src, b.dst FROM r AS a JOIN r AS b ON a.dst = b.src) SELECT src, dst FROM r", "WITH e AS (SELECT n_nationkey AS src, n_regionkey + 100 AS dst FROM nation UNION ALL SELECT r_regionkey + 100, 1000 FROM region) SELECT src, dst FROM e UNION ALL SELECT a.src, b.dst FROM e AS a JOIN e AS b ON a.dst = b.src"),
+    "decimal_rounding": ("SELECT l_orderkey, l_linenumber, CAST(CAST(l_linenumber + 0.5 AS DECIMAL(10,0)) AS BIGINT) AS a, CAST(CAST(-0.5 - l_linenumber AS DECIMAL(10,0)) AS BIGINT) AS b, CAST(CAST(l_linenumber * 0.125 AS DECIMAL(10,2)) AS DOUBLE) AS c FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(CAST(CAST(l_linenumber + 0.5 AS DOUBLE) AS DECIMAL(10,0)) AS BIGINT) AS a, CAST(CAST(CAST(-0.5 - l_linenumber AS DOUBLE) AS DECIMAL(10,0)) AS BIGINT) AS b, CAST(CAST(CAST(l_linenumber * 0.125 AS DOUBLE) AS DECIMAL(10,2)) AS DOUBLE) AS c FROM lineitem"),
+    "strings_concat_functions": ("SELECT p_partkey, CONCAT(p_brand, '-', p_type) AS a, CONCAT_WS('-', p_brand, NULLIF(p_type, p_type), p_name) AS b FROM part", None),
+    "initcap_sql": ("SELECT p_partkey, INITCAP(p_name || '-' || LOWER(p_type) || ' 7UP') AS s FROM part", r"SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(p_name || '-' || lower(p_type) || ' 7UP', '([\p{L}\p{N}]+|[^\p{L}\p{N}]+)'), lambda w: upper(w[1]) || lower(w[2:])), '') AS s FROM part"),
     "bitwise": ("SELECT l_orderkey, l_linenumber, l_orderkey & 7 AS a, l_orderkey | 8 AS b FROM lineitem", None),
     "decimal_arithmetic": ("SELECT l_orderkey, l_linenumber, CAST(CAST(l_tax AS DECIMAL(10,2)) + CAST(l_discount AS DECIMAL(10,2)) * 2 AS DOUBLE) AS a, CAST(l_tax AS DECIMAL(10,2)) < CAST(l_discount AS DECIMAL(10,2)) AS b FROM lineitem", None),
     "strings_case": ("SELECT p_partkey, UPPER(p_name) AS a, LOWER(p_brand) AS b, REVERSE(p_type) AS c, REPLACE(p_name, 'a', 'xy') AS d FROM part", None),
@@ -166,7 +180,7 @@ def _divide(spark, d):
     return _frames(spark, d)("lineitem").select(
         "l_orderkey", "l_linenumber", fn.divide(c("l_orderkey"), (c("l_linenumber") - 2).cast("bigint"), True).alias("q"), fn.modulo(c("l_orderkey"), (c("l_linenumber") - 2).cast("bigint")).alias("r"),
         fn.divide(c("l_tax"), c("l_discount"), False).alias("f"),
-    ).withColumn("f", F.when(F.isnan("f") | (F.abs("f") == float("inf")), None).otherwise(F.round("f", 6)))
+    ).withColumn("kind", F.when(F.isnan("f"), "nan").when(F.col("f") == float("inf"), "inf").when(F.col("f") == float("-inf"), "-inf").otherwise("finite")).withColumn("f", F.when(F.col("kind") == "finite", F.round("f", 6)))
 
 
 def _shift(spark, d):
@@ -236,15 +250,67 @@ def _append(spark, d):
     return engine.sql("SELECT r_name, COUNT(*) AS n FROM twice GROUP BY r_name")
 
 
+def _files(spark, d):
+    """orders in six files, of which a micro-batch takes two."""
+    folder, orders = scratch(spark, "orders"), _frames(spark, d)("orders")
+    orders.repartition(6, "o_orderkey").write.parquet(folder)
+    return bounded.stream_files(spark, folder, orders.schema, files_a_batch=2)
+
+
 def _stream(keys):
     def run(spark, d):
-        schema = _frames(spark, d)("orders").schema
         aggregates = (F.count("*").alias("n"), F.sum("o_custkey").alias("s"), F.min("o_totalprice").alias("a"), F.max("o_totalprice").alias("z"))
-        return bounded.aggregate(bounded.stream_files(spark, d, schema, pattern="orders.parquet"), keys, *aggregates)
+        return bounded.aggregate(_files(spark, d), keys, *aggregates)
 
     return run
 
 
+def _stream_rows(spark, d):
+    kept = _files(spark, d).where("o_totalprice > 100000").select("o_orderkey", (F.col("o_totalprice") * 2).alias("twice"))
+    return bounded.rows(kept, scratch(spark, "rows"), scratch(spark, "rows-state"))
+
+
+def _eager(spark, d):
+    engine, n = Engine(spark), _frames(spark, d)("nation")
+    engine.register_table_stream("parts", n.schema, [n.where("n_nationkey < 5"), n.where("n_nationkey between 5 and 12"), n.where("n_nationkey > 12")])
+    return engine.sql("SELECT n_regionkey, COUNT(*) AS n, MIN(n_name) AS a FROM parts GROUP BY n_regionkey")
+
+
+def _register(spark, d):
+    engine, r = Engine(spark), _frames(spark, d)("region")
+    engine.register_table("r", r.where("r_regionkey < 2"))
+    engine.register_batch("r", r.where("r_regionkey >= 2").toArrow())
+    return engine.sql("SELECT r_regionkey, r_name FROM r")
+
+
+def _user_rewrite(spark, d):
+    engine = Engine(spark).register_parquet(d, ["orders"])
+    engine.with_rewrite(lambda df: df.where(F.col("o_totalprice") > 100000)).with_rewrite(lambda df: df.withColumn("o_totalprice", F.col("o_totalprice") + 1))
+    return engine.sql("SELECT o_orderkey, o_totalprice FROM orders")
+
+
+def _decimal_divide(spark, d):
+    c = F.col
+    q = fn.decimal_divide(c("l_quantity").cast("decimal(10,2)"), (c("l_linenumber") - 3).cast("decimal(10,2)"), 12, 2)
+    return _frames(spark, d)("lineitem").select("l_orderkey", "l_linenumber", q.cast("double").alias("q"))
+
+
+def _wrapping(spark, d):
+    big, c = F.lit(2**63 - 5), F.col
+    t = _frames(spark, d)("lineitem")
+    return t.select(
+        "l_orderkey", "l_linenumber", fn.wrapping("+", c("l_orderkey"), big).alias("a"), fn.wrapping("-", -c("l_orderkey"), big).alias("b"),
+        fn.wrapping("*", c("l_orderkey") * 1_000_000_007, c("l_partkey") * 998_244_353).alias("c"), fn.wrapping("+", c("l_linenumber"), F.lit(2**31 - 3), "int").alias("d"),
+    )
+
+
+def _builder_spread(spark, d):
+    engine = Engine(spark).register_parquet(d, ["lineitem"])
+    q = F.col("l_quantity")
+    made = [F.round(f(q), 6).alias(n) for n, f in (("vp", fn.var_pop), ("vs", fn.var_samp), ("sp", fn.stddev_pop), ("ss", fn.stddev_samp))]
+    return Builder.scan(engine, "lineitem").group_by("l_linestatus").agg(*made).into_plan()
+
+
 def _bools(spark, d):
     b = F.col("l_quantity") > 25
     return _frames(spark, d)("lineitem").groupBy("l_returnflag").agg(fn.sum_(b, "boolean").alias("s"), F.round(fn.avg(b, "boolean"), 8).alias("m"), fn.min_(b).alias("a"))
@@ -254,10 +320,18 @@ def _initcap(spark, d):
     return _frames(spark, d)("part").select("p_partkey", fn.initcap(F.concat_ws("-", "p_name", F.lower("p_type"))).alias("s"))
 
 
+#: Two's complement of 64 and of 32 bits, in DuckDB's 128-bit integers.
+_WRAP = "CAST(((({}) + 9223372036854775808) % 18446744073709551616 + 18446744073709551616) % 18446744073709551616 - 9223372036854775808 AS BIGINT)"
+_K, _P = "CAST(l_orderkey AS HUGEINT)", "CAST(l_partkey AS HUGEINT)"
+WRAPPED = (
+    f"SELECT l_orderkey, l_linenumber, {_WRAP.format(_K + ' + 9223372036854775803')} AS a, {_WRAP.format('-' + _K + ' - 9223372036854775803')} AS b, "
+    f"{_WRAP.format(f'({_K} * 1000000007) * ({_P} * 998244353)')} AS c, CAST((CAST(l_linenumber AS BIGINT) + 2147483645 + 2147483648) % 4294967296 - 2147483648 AS INTEGER) AS d FROM lineitem"
+)
+
 PLAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "join_using": (_using, "SELECT n_name, r_name, r_regionkey AS right_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "join_natural": (_natural, "SELECT n_regionkey AS k, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
-    "divide_modulo": (_divide, "SELECT l_orderkey, l_linenumber, CAST(trunc(l_orderkey / nullif(l_linenumber - 2, 0)) AS BIGINT) AS q, l_orderkey % nullif(CAST(l_linenumber - 2 AS BIGINT), 0) AS r, round(l_tax / nullif(l_discount, 0), 6) AS f FROM lineitem"),
+    "divide_modulo": (_divide, "SELECT l_orderkey, l_linenumber, CAST(trunc(l_orderkey / nullif(l_linenumber - 2, 0)) AS BIGINT) AS q, l_orderkey % nullif(CAST(l_linenumber - 2 AS BIGINT), 0) AS r, round(l_tax / nullif(l_discount, 0), 6) AS f, CASE WHEN l_discount <> 0 THEN 'finite' WHEN l_tax = 0 THEN 'nan' ELSE 'inf' END AS kind FROM lineitem"),
     "shifts_xor": (_shift, "SELECT l_orderkey, l_linenumber, l_orderkey << l_linenumber AS a, CAST(0 AS BIGINT) AS b, xor(l_orderkey, l_partkey) AS x FROM lineitem"),
     "date_trunc_difference": (_truncate, "SELECT o_orderkey, date_trunc('month', o_orderdate)::TIMESTAMP AS m, CAST(date_trunc('year', CAST(o_orderdate AS DATE)) AS DATE) AS y, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT) AS n, epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1995-01-01') AS u FROM orders"),
     "recursive_union": (_reach, "WITH RECURSIVE r AS (SELECT CAST(n_nationkey AS BIGINT) AS src, CAST(n_regionkey AS BIGINT) AS dst FROM nation UNION SELECT r.src, CAST(n_regionkey AS BIGINT) FROM r JOIN nation ON r.dst = n_nationkey) SELECT * FROM r"),
@@ -271,7 +345,14 @@ PLAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "stream_scalar": (_stream([]), "SELECT COUNT(*) AS n, CAST(SUM(o_custkey) AS BIGINT) AS s, MIN(o_totalprice) AS a, MAX(o_totalprice) AS z FROM orders"),
     "stream_grouped": (_stream(["o_orderstatus"]), "SELECT o_orderstatus, COUNT(*) AS n, CAST(SUM(o_custkey) AS BIGINT) AS s, MIN(o_totalprice) AS a, MAX(o_totalprice) AS z FROM orders GROUP BY o_orderstatus"),
     "boolean_aggregates": (_bools, "SELECT l_returnflag, CAST(SUM(CAST(l_quantity > 25 AS INT)) AS BIGINT) AS s, round(AVG(CAST(l_quantity > 25 AS INT)), 8) AS m, MIN(l_quantity > 25) AS a FROM lineitem GROUP BY l_returnflag"),
-    "initcap": (_initcap, None),
+    "initcap": (_initcap, r"SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(concat_ws('-', p_name, lower(p_type)), '([\p{L}\p{N}]+|[^\p{L}\p{N}]+)'), lambda w: upper(w[1]) || lower(w[2:])), '') AS s FROM part"),
+    "stream_rows": (_stream_rows, "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_totalprice > 100000"),
+    "eager_batches": (_eager, "SELECT n_regionkey, COUNT(*) AS n, MIN(n_name) AS a FROM nation GROUP BY n_regionkey"),
+    "register_batch": (_register, "SELECT r_regionkey, r_name FROM region"),
+    "user_rewrite": (_user_rewrite, "SELECT o_orderkey, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_totalprice > 100000"),
+    "decimal_division": (_decimal_divide, "SELECT l_orderkey, l_linenumber, trunc(l_quantity * 100 / nullif(l_linenumber - 3, 0)) / 100 AS q FROM lineitem"),
+    "wrapping_arithmetic": (_wrapping, WRAPPED),
+    "builder_spread": (_builder_spread, "SELECT l_linestatus, ROUND(VAR_POP(l_quantity), 6) AS vp, ROUND(VAR_SAMP(l_quantity), 6) AS vs, ROUND(STDDEV_POP(l_quantity), 6) AS sp, ROUND(STDDEV_SAMP(l_quantity), 6) AS ss FROM lineitem GROUP BY l_linestatus"),
 }
 
 
