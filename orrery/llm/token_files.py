@@ -1,8 +1,8 @@
 """Token-id files: patched frame-of-reference blocks behind an index, written and read through Spark.
 
 A file is a run of segments, each closed by a line feed (the only byte that Spark's text writer adds).
-A segment holds whole documents in ascending order of doc_id, except that a document longer than a
-segment is alone in one:
+A segment holds whole documents in ascending order of doc_id; it is closed after the run of texts (ENCODE_BYTES
+at most, or one longer text) in which it reaches SEGMENT_TOKENS:
 
     header   magic, part, number in the part, documents, tokens, blocks   (HEADER, little-endian)
     docs     doc_id int64[documents], tokens uint32[documents]; a null id is flagged by a byte each
@@ -159,9 +159,10 @@ def read_segments(content: bytes | memoryview) -> Iterator[tuple[int, int, np.nd
 def encode_to_files(docs: DataFrame, vocabulary: str, end_id: int | None, folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> str:
     """Encode every text and write the ids in ascending order of doc_id; gives the folder back.
 
-    Rows are dealt by ranges of (doc_id, hash of the text), so parts are in order and equal ids may
-    still spread; a null id sorts first. A null or empty text has the end id alone, or nothing where
-    ``end_id`` is None. Repeated rows are written each; an empty table gives a folder without segments.
+    Rows are dealt by ranges of (doc_id, hash of the text) and sorted by these and the text, so the order of
+    equal ids is the same however rows are dealt; a null id sorts first. A null or empty text has the end id
+    alone, or nothing where ``end_id`` is None. Repeated rows are written each; other columns play no part; an
+    empty table gives a folder without segments. Without ``folder`` the files last as long as the application.
     The text goes through the one shuffle, and the ids never do.
     """
     spark = docs.sparkSession
@@ -195,7 +196,7 @@ def encode_to_files(docs: DataFrame, vocabulary: str, end_id: int | None, folder
             yield close()
 
     narrow = texts(docs, doc_id, text=text).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    dealt = narrow.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    dealt = narrow.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     segments = dealt.mapInArrow(releasing(run, RELEASE_BYTES), "segment binary")
     segments.select(F.col("segment").cast("string")).write.option("maxRecordsPerFile", SEGMENTS_A_FILE).text(folder)
     return folder

@@ -13,12 +13,14 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import accumulate
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +38,16 @@ NODES = "file string, level int, idx bigint, begin bigint, end bigint, hash stri
 _BREAKS = re.compile(r"[\x00-\x20\x7f]")
 
 
-def record(page_id: int | None, url: str | None, body: bytes, date: str) -> bytes:
-    """One resource record. White space and controls in the address are escaped; a missing one is named by the page."""
+def record(page_id: int | None, url: str | None, body: bytes, date: str, place: str = "") -> bytes:
+    """One resource record. White space and controls in the address are escaped; a missing one is named by the page.
+
+    ``place`` tells records of equal pages apart, whose ids have to differ.
+    """
     target = _BREAKS.sub(lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
     digest = hashlib.sha256(body).hexdigest()
+    own = uuid.UUID(bytes=hashlib.sha256("\n".join([place, str(page_id), target, digest]).encode("utf-8", "surrogatepass")).digest()[:16], version=5)
     head = (
-        f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: {target}\r\nWARC-Date: {date}\r\nWARC-Record-ID: <urn:sha256:{digest}>\r\n"
+        f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: {target}\r\nWARC-Date: {date}\r\nWARC-Record-ID: <urn:uuid:{own}>\r\nWARC-Block-Digest: sha256:{digest}\r\n"
         + (f"X-Page-Id: {page_id}\r\n" if page_id is not None else "")
         + f"Content-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n"
     )
@@ -95,17 +101,19 @@ def read_record(content: bytes) -> tuple[int | None, str, bytes]:
 def write_warc(pages: DataFrame, folder: str | None = None, page_id: str = "page_id", url: str = "url", body: str = "html", date: str = "1970-01-01T00:00:00Z") -> str:
     """Write every page as a record, in order of page_id (null first) and url; gives the folder.
 
-    A null body is an empty one. Repeated rows are written each; an empty table gives no files with records.
+    A null body is an empty one. Repeated rows are written each, under ids of their own; other columns, whatever
+    their names, play no part; an empty table gives no files with records. Without ``folder`` the files last as
+    long as the application.
     """
     folder = folder or scratch(pages.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
-        size = 0
+        part, number, size = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for k, u, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(member(record(k, u, (b or "").encode(), date)))
-                size += len(held[-1])
+                held.append(member(record(k, u, (b or "").encode(), date, f"{part}/{number}")))
+                number, size = number + 1, size + len(held[-1])
                 if size >= FILE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["file"])
                     held, size = [], 0
@@ -113,7 +121,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, page_id: str = "page
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["file"])
 
     narrow = pages.select(F.col(page_id).cast("bigint").alias("a"), F.col(url).cast("string").alias("b"), F.col(body).cast("string").alias("c"))
-    dealt = narrow.repartitionByRange("a", "b", F.xxhash64("c")).sortWithinPartitions("a", "b")
+    dealt = narrow.repartitionByRange("a", "b", F.xxhash64("c")).sortWithinPartitions("a", "b", F.xxhash64("c"))
     _write(dealt.mapInArrow(run, "file binary"), folder)
     return folder
 
@@ -188,15 +196,15 @@ def copy_nodes(files: DataFrame, ours: DataFrame, most: int = MOST_RANGES) -> Da
     length = F.struct("idx", (F.col("end") - F.col("begin")).cast("int").alias("n"))
     leaves = ours.where("level = 0")
     lists = checkpoint(leaves.groupBy("file").agg(F.transform(F.sort_array(F.collect_list(length)), lambda x: x["n"]).alias("lengths")))
-    slices, held = [[]], 0
+    slices, held = [[]], 0  # of names; without any there is nothing to hash
     for name, n in lists.select("file", F.size("lengths")).orderBy("file").collect():
         if slices[-1] and held + n > most:
             slices.append([])
             held = 0
         slices[-1].append(name)
         held += n
-    found = []
-    for k, names in enumerate(slices):
+    found = [ours.limit(0)]
+    for k, names in enumerate(slices if slices[0] else []):
         some = lists if len(slices) == 1 else lists.where(F.col("file") >= names[0]) if k == len(slices) - 1 else lists.where(F.col("file").between(names[0], names[-1]))
         found.append(files.join(F.broadcast(some), "file").select("file", "content", "lengths").mapInArrow(run, NODES))
     return reduce(DataFrame.unionByName, found)
@@ -212,9 +220,10 @@ def _upper(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def damaged(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Leaves (file, record) in which the nodes of two replicas differ, by descending only where they do."""
+    """Leaves (file, record) of ours in which the nodes of two replicas differ, by descending only where they do."""
     (files, buckets, root), (files2, buckets2, root2) = _upper(ours), _upper(theirs)
-    if root.first() == root2.first():
+    top = ours.agg(F.max("level")).first()[0]
+    if top is None or root.first() == root2.first():
         return ours.select("file", F.col("idx").alias("record")).limit(0)
 
     def differ(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
@@ -223,7 +232,6 @@ def damaged(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
     bad = differ(buckets, buckets2, "bucket")
     bad = differ(files.join(bad, "bucket", "left_semi"), files2, "file").select("file", F.col("top").alias("level"), F.lit(0).cast("bigint").alias("idx"))
-    top = ours.agg(F.max("level")).first()[0]
     strip = lambda df: df.select("file", "level", "idx", "hash")
     leaves = bad.where("level = 0").select("file", "idx")
     for level in range(top, 0, -1):
@@ -239,7 +247,10 @@ def damaged(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def copy_replica(files: DataFrame, change: Callable[[str, bytes], bytes] | None = None, folder: str | None = None) -> str:
-    """Write (file, content) again, one file each under its own number; ``change`` damages a copy for a drill."""
+    """Write (file, content) again, one file each under its own number; ``change`` damages a copy for a drill.
+
+    Contents end with the writer's line feed, which it adds again. Without files the folder has none.
+    """
     folder = folder or scratch(files.sparkSession, "warc-copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,15 +274,19 @@ def copied_files(spark: SparkSession, folder: str) -> DataFrame:
 def audit(files: DataFrame, replica: DataFrame) -> DataFrame:
     """Every record with its range, page, leaf hash, the archive's root, and whether the replica's bytes differ.
 
-    ``files`` and ``replica`` are (file, content). Records of a file that the replica lacks are damaged;
-    files that only the replica has aren't looked at. Archives without records give no rows. A record is
-    damaged where its range in the replica has other bytes or fewer: after a loss or an insertion within a file
-    that is every record that no longer stands at its offset. What follows a file's last record counts as its.
+    ``files`` and ``replica`` are (file, content); other columns play no part. Records of a file that the replica
+    lacks are damaged. A file that only the replica has is a row of its own, damaged, with its name alone and no
+    record. An archive without records has the root of no buckets, the hash of nothing. A record is damaged where its range in the replica has
+    other bytes or fewer: after a loss or an insertion within a file that is every record that no longer stands
+    at its offset. What follows a file's last record, appended records too, counts as its.
     """
+    files, replica = files.select("file", "content"), replica.select("file", "content")
     ours = checkpoint(replica_nodes(files))
     theirs = checkpoint(copy_nodes(replica, ours).drop("page_id", "url"))
     root = _upper(ours)[2].first()["hash"]
     bad = damaged(ours, theirs).withColumn("damaged", F.lit(True))
     leaves = ours.where("level = 0").select("file", F.col("idx").alias("record"), F.col("begin").alias("offset"), (F.col("end") - F.col("begin")).alias("length"), "page_id", "url", F.col("hash").alias("leaf_sha256"))
-    joined = leaves.join(bad, ["file", "record"], "left")
-    return joined.select("file", "record", "offset", "length", "page_id", "url", "leaf_sha256", F.lit(root).alias("root_sha256"), F.coalesce("damaged", F.lit(False)).alias("damaged"))
+    joined = leaves.join(bad, ["file", "record"], "left").withColumn("damaged", F.coalesce("damaged", F.lit(False)))
+    surplus = replica.select("file").distinct().join(files.select("file").distinct(), "file", "left_anti").withColumn("damaged", F.lit(True))
+    rows = joined.unionByName(surplus, allowMissingColumns=True)
+    return rows.select("file", "record", "offset", "length", "page_id", "url", "leaf_sha256", F.lit(root).alias("root_sha256"), "damaged")
