@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from difflib import get_close_matches
 from functools import reduce
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException, ParseException
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from orrery.errors import CapExceeded, PlanError, TypeMismatch
+from orrery.metrics import Metrics
 from orrery.plans import recursive
 from orrery.plans.rewrite import parsed, tokens, written
 from orrery.session import configure
@@ -43,6 +46,7 @@ class Engine:
         self.tables: dict[str, DataFrame] = {}
         self.lazy: dict[str, tuple[StructType, Callable[[], Iterable[Batch]]]] = {}
         self.rewrites: list[Callable[[DataFrame], DataFrame]] = []
+        self.metrics = Metrics()
 
     def _frame(self, batch: Batch) -> DataFrame:
         if isinstance(batch, DataFrame):
@@ -107,18 +111,51 @@ class Engine:
         return self
 
     def sql(self, text: str) -> DataFrame:
-        words = {t.strip("`") for t in tokens(text)}
+        with self.metrics.phase("plan"):
+            self.metrics.add("queries")
+            found = self._planned(text)
+            for rule in self.rewrites:
+                made = rule(found)
+                if made.schema != found.schema:
+                    raise PlanError("a rewrite changed the schema")
+                found = made
+        return found
+
+    def _planned(self, text: str) -> DataFrame:
+        listed = tokens(text)
+        words = {t.strip("`") for t in listed}
         for name in [n for n in self.lazy if n in words]:
             self.table(name)
+        self._check_quoted(listed)
         nodes = parsed(text, self._types(words), self._columns)
-        found = recursive.run(self.spark, nodes)
-        found = set_apart(self.spark.sql(written(nodes)) if found is None else found)
-        for rule in self.rewrites:
-            made = rule(found)
-            if made.schema != found.schema:
-                raise PlanError("a rewrite changed the schema")
-            found = made
-        return found
+        try:
+            found = recursive.run(self.spark, nodes)
+            return set_apart(self.spark.sql(written(nodes)) if found is None else found)
+        except AnalysisException as e:
+            raise self._named(e, words) from e
+
+    def _names(self, words: set[str]) -> set[str]:
+        """Tables, and columns of those that a text names."""
+        return {*self.tables, *self.lazy, *(c for n, df in self.tables.items() if n in words for c in df.columns)}
+
+    def _check_quoted(self, listed: list[str]) -> None:
+        """A quoted name is taken as it is written, capitals included, unless the text makes it an alias."""
+        known = self._names({t.strip("`") for t in listed})
+        aliases = {b for a, b in pairwise(listed) if a.upper() == "AS"}
+        for t in listed:
+            name = t[1:-1]
+            if t[0] == "`" and t not in aliases and name not in known and (other := next((k for k in known if k.lower() == name.lower()), None)):
+                raise PlanError(f'no name "{name}"; did you mean "{other}"?')
+
+    def _named(self, error: AnalysisException, words: set[str]) -> Exception:
+        """An unknown table or column by its name, with the closest known one."""
+        kind, found = error.getCondition() or "", error.getMessageParameters() or {}
+        name = found.get("relationName") if "TABLE_OR_VIEW_NOT_FOUND" in kind else found.get("objectName") if kind.startswith("UNRESOLVED_COLUMN") else None
+        if not name:
+            return error
+        bare = name.split(".")[-1].strip("`")
+        close = get_close_matches(bare.lower(), sorted(self._names(words)), 1, 0.6)
+        return PlanError(f"no {'table' if 'TABLE' in kind else 'column'} {bare}" + (f"; did you mean {close[0]}?" if close else ""))
 
     def _columns(self, text: str) -> list[tuple[str, str]] | None:
         """Names and types of a query's columns, by analysis alone; None if it can't be analysed by itself."""
@@ -141,7 +178,10 @@ class Engine:
 
     def fetch(self, text: str, cap: int = RESULT_CAP) -> pa.Table:
         """A result for a client, as Arrow; more rows than the cap are an error."""
-        found = self.sql(text).limit(cap + 1).toArrow()
+        planned = self.sql(text).limit(cap + 1)
+        with self.metrics.phase("run"):
+            found = planned.toArrow()
+        self.metrics.add("rows", len(found))
         if len(found) > cap:
             raise CapExceeded(f"more than {cap} rows")
         return found
