@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table. One that is read in fewer tasks than there are cores (a small file) is dealt to all of them."""
+    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
