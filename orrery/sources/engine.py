@@ -176,9 +176,9 @@ class Engine:
     def explain_sql(self, text: str) -> str:
         return self.sql(text)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
-    def fetch(self, text: str, cap: int = RESULT_CAP) -> pa.Table:
+    def fetch(self, query: str | DataFrame, cap: int = RESULT_CAP) -> pa.Table:
         """A result for a client, as Arrow; more rows than the cap are an error."""
-        planned = self.sql(text).limit(cap + 1)
+        planned = (self.sql(query) if isinstance(query, str) else query).limit(cap + 1)
         with self.metrics.phase("run"):
             found = planned.toArrow()
         self.metrics.add("rows", len(found))

@@ -12,12 +12,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.flight as fl
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 
 from orrery.errors import CapExceeded, EngineError, Unsupported
 from orrery.sources.engine import RESULT_CAP, Engine
 
 #: Bytes of Arrow that a client gets at most.
 BYTES_CAP = 1 << 30
+#: Planned statements that are held.
+MOST_PLANNED = 64
 #: Fixed values of the protocol: names of the messages for a statement and for the ticket of its rows.
 PREFIX = "type.googleapis.com/arrow.flight.protocol.sql."
 STATEMENT, TICKET = PREFIX + "CommandStatementQuery", PREFIX + "TicketStatementQuery"
@@ -105,6 +108,8 @@ class SqlServer(fl.FlightServerBase):
         super().__init__(location, middleware={"bearer": _Bearer(token)} if token else None)
         self.engine, self.row_cap, self.byte_cap = engine, row_cap, byte_cap
         self.one = threading.Lock()
+        #: Statements that were planned for their schema and not fetched yet: recursion, say, is run by planning.
+        self.planned: dict[str, DataFrame] = {}
 
     def _run(self, data: bytes, what):
         text = statement(data)
@@ -121,7 +126,13 @@ class SqlServer(fl.FlightServerBase):
     def _schema(self, descriptor: fl.FlightDescriptor) -> tuple[str, pa.Schema]:
         if descriptor.descriptor_type != fl.DescriptorType.CMD:
             raise NotImplementedError("paths")
-        return self._run(descriptor.command, lambda text: self.engine.sql(text).limit(0).toArrow().schema)
+        return self._run(descriptor.command, lambda text: self._plan(text).limit(0).toArrow().schema)
+
+    def _plan(self, text: str) -> DataFrame:
+        found = self.planned[text] = self.engine.sql(text)
+        while len(self.planned) > MOST_PLANNED:
+            del self.planned[next(iter(self.planned))]
+        return found
 
     def get_flight_info(self, context, descriptor):
         text, schema = self._schema(descriptor)
@@ -136,7 +147,7 @@ class SqlServer(fl.FlightServerBase):
         return fl.RecordBatchStream(found)
 
     def _fetch(self, text: str) -> pa.Table:
-        found = self.engine.fetch(text, self.row_cap)
+        found = self.engine.fetch(self.planned.pop(text, text), self.row_cap)
         if found.nbytes > self.byte_cap:
             raise CapExceeded(f"more than {self.byte_cap} bytes")
         return found
