@@ -170,7 +170,7 @@ def _slices(benchmark: DataFrame, size: int, table_bytes: int, text: str, item_i
     def slices():
         for k in range(n):
             part = bench if n == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-            yield benchmark.sparkSession.sparkContext.broadcast(matchers([(r.item, r.text.encode()) for r in part.toLocalIterator()], size))
+            yield benchmark.sparkSession.sparkContext.broadcast(matchers([(r.item, r.text.encode()) for r in part.collect()], size))
 
     return n, slices()
 
