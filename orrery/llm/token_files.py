@@ -196,7 +196,8 @@ def encode_to_files(docs: DataFrame, vocabulary: str, end_id: int | None, folder
             yield close()
 
     narrow = texts(docs, doc_id, text=text).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    dealt = narrow.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    keyed = narrow.withColumn("h", F.xxhash64("text"))
+    dealt = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     segments = dealt.mapInArrow(releasing(run, RELEASE_BYTES), "segment binary")
     segments.select(F.col("segment").cast("string")).write.option("maxRecordsPerFile", SEGMENTS_A_FILE).text(folder)
     return folder
