@@ -2,7 +2,10 @@
 
 Two sets of at least similarity t share one of the first n - ceil(t n) + 1 shingles of each, in any order
 that all sets keep. Each text is listed under these; the order puts shingles that a sample shows to be
-frequent last, which bears on the work alone. Keys that the same texts share count once. The texts of a key
+frequent last, and before them those of words that it shows to be frequent, which bears on the work alone:
+else unlike texts meet by chance, the more of them the more texts there are. Prefixes longer by k - 1 share k
+shingles (EXTRA): a text that has fewer in common with all others together is like none of them, which leaves
+out those that only share a passage. Keys whose texts another key has too count once. The texts of a key
 are compared in memory by the Hamming distance of their parity fingerprints, which rules out what can't be
 alike; those of a common key are all taken for candidates. Candidates make groups. A group is compared in
 memory, exactly, and linked by a spanning tree. One that doesn't fit is cut into parts: each is compared in
@@ -13,6 +16,7 @@ component are compared with all parts.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,42 +26,69 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import checkpoint, distinct, list_parts, ragged_gather, releasing, runs, texts
 from orrery.llm.components import components, splittable
-from orrery.llm.simhash import LOWER, SEED
+from orrery.llm.simhash import LOWER, SEED, digests
+from orrery.session import discard, scratch, tidy
 
 #: Texts under one key that are compared in memory, and shingles of a part of a group.
 MOST_IN_KEY, MOST_IN_PART = 2048, 2 << 20
 #: Of about so many texts, shingles that so many hold are put last; of these, the most frequent at most.
 SAMPLE, FREQUENT, MOST_FREQUENT = 5_000, 3, 1 << 19
+#: Of their words, those that occur so often count as frequent; of these, the most frequent at most, if no longer than so many bytes.
+FREQUENT_WORD, MOST_WORDS, LONGEST_WORD = 8, 1 << 16, 64
 #: Bits of the filter of texts whose sets are needed, of one of the bitmaps that make it, and a set's parities for each of its shingles, at least.
 FILTER_BITS, BITMAP_BITS, PARITIES = 1 << 26, 1 << 15, 4
+#: Further shingles of a prefix, as a share of the set: so many must be shared too.
+EXTRA = 0.05
 #: Texts of a large group with which each of its parts is compared, about.
 PIVOTS = 8
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct XXH64 of the runs of ``size`` words; a shorter text is one run."""
-    import xxhash
+    return weighed(text, size, {})[0]
 
-    words = text.translate(LOWER).split()
-    digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - size + 1)
-    return distinct(np.fromiter((digest(b" ".join(words[k : k + size]), SEED) for k in range(n)), np.uint64, n).view(np.int64))
 
+def weighed(text: bytes, size: int, words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles``, and the weight of each: the sum of its words'."""
+    import xxhash
 
-def prefix(keys: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of which a set as similar holds one among its own: those that aren't frequent, and those that are."""
+    found = text.translate(LOWER).split()
+    if not found:
+        return np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64).view(np.int64), np.zeros(1, np.int64)
+    keys = digests(found, size).view(np.int64)
+    if not words:
+        keys = distinct(keys)
+        return keys, np.zeros(len(keys), np.int64)
+    total = np.zeros(len(found) + 1, np.int64)
+    np.cumsum(np.fromiter((words.get(w, 0) for w in found), np.int64, len(found)), out=total[1:])
+    keys, first = np.unique(keys, return_index=True)
+    # The weight depends on the shingle alone, so all sets keep the same order.
+    return keys, (total[size:] - total[:-size] if len(found) >= size else total[-1:])[first]
+
+
+def prefix(keys: np.ndarray, weights: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of which a set as similar holds ``least_shared`` among its own: those that aren't frequent, and those that are."""
     n = len(keys)
     # A bit below the product, so that rounding never shortens the prefix.
-    take = min(n, n - math.ceil(similarity * n - 1e-6) + 1)
-    if not len(frequent):
-        return keys[:take], keys[:0]
-    at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
-    often = np.where(frequent[at] == keys, counts[at], 0)
-    order = np.lexsort((keys, often))[:take]
+    take = min(n, n - math.ceil(similarity * n - 1e-6) + 1 + math.floor(_extra(similarity) * n))
+    often = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
+        often = np.where(frequent[at] == keys, counts[at], 0)
+    order = np.lexsort((keys, weights, often))[:take]
     rare = int((often[order] == 0).sum())
     return keys[order[:rare]], keys[order[rare:]]
 
 
+def _extra(similarity: float) -> float:
+    return min(EXTRA, similarity / 2)
+
+
+def least_shared(n, similarity: float):
+    """A column: how many shingles of its prefix a set of ``n`` shares with one as similar, whose size is at least that share of its own."""
+    return 1 + F.floor(F.lit(_extra(similarity) * similarity) * n - F.lit(1e-6)) if similarity > 0 else F.lit(0)
+
+
 def parities(keys: np.ndarray) -> bytes:
     """One bit for each remainder: whether an odd number of shingles has it. Two sets differ in at least as many shingles as bits.
 
@@ -165,6 +196,19 @@ def may_be_alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(h[a]), pa.array(h[b])], names=["a", "b"])
 
 
+def widest(members: DataFrame) -> DataFrame:
+    """Members (who, h) of the groups of two or more that aren't part of another: of that one alone which most of a group's members have as their largest."""
+    sized = members.groupBy("who").agg(F.count("*").alias("m")).where("m > 1")
+    members = checkpoint(members.join(sized, "who"))
+    largest = members.groupBy("h").agg(F.max(F.struct("m", "who")).alias("wide"))
+    votes = members.select("who", "m", "h").join(largest, "h").groupBy("who", "m", "wide").count()
+    chosen = votes.groupBy("who", "m").agg(F.max_by("wide.who", F.struct("count", "wide")).alias("wide")).where("who <> wide")
+    both = members.select("who", "h").join(chosen, "who").join(members.select(F.col("who").alias("wide"), "h"), ["wide", "h"])
+    # The other is larger, or as large with a greater number: nothing is left out by what it leaves out itself.
+    within = both.groupBy("who", "m").count().where("count = m")
+    return members.join(within, "who", "left_anti").select("who", "h")
+
+
 def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return texts(docs, doc_id, text=text).select(F.xxhash64(text).alias("h"), F.col(text).alias("text"))
 
@@ -179,20 +223,26 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows]), pa.int64()))
 
 
-def frequent_shingles(hashed: DataFrame, size: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that are frequent in a sample of the texts, and how many texts hold each."""
+def sampled(hashed: DataFrame, size: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+    """Sorted shingles that are frequent in a sample of the texts, how many texts hold each, and the weights of frequent words."""
     share = sample / max(1, hashed.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [s for _, s in _sets(batch, size)]
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["key"])
+            keys = np.concatenate([np.zeros(0, np.int64), *(s for _, s in _sets(batch, size))])
+            words = Counter(w for x in batch.column(1) for w in x.as_buffer().to_pybytes().translate(LOWER).split() if len(w) <= LONGEST_WORD)
+            columns = [pa.array(keys), pa.nulls(len(keys), pa.binary()), pa.array(np.ones(len(keys), np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "word", "n"])
+            columns = [pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "word", "n"])
 
     some = hashed.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1, share)))
-    often = some.mapInArrow(releasing(run), "key bigint").groupBy("key").count().where(F.col("count") >= FREQUENT)
-    table = often.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).toArrow().sort_by("key").combine_chunks()
-    return table["key"].to_numpy(), table["count"].to_numpy()
+    counted = some.mapInArrow(releasing(run), "key bigint, word binary, n bigint").groupBy("key", "word").agg(F.sum("n").alias("n"))
+    often = checkpoint(counted.where(F.col("n") >= F.when(F.col("word").isNull(), FREQUENT).otherwise(FREQUENT_WORD)))
+    table = often.where("word is null").orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).toArrow().sort_by("key").combine_chunks()
+    words = often.where("word is not null").orderBy(F.desc("n"), "word").limit(MOST_WORDS).toArrow()
+    weights = np.rint(8 * np.log2(words["n"].to_numpy() / (FREQUENT_WORD / 2))).astype(np.int64).tolist()
+    return table["key"].to_numpy(), table["n"].to_numpy(), dict(zip(words["word"].to_pylist(), weights, strict=True))
 
 
 def picked(hashed: DataFrame, needed: DataFrame, size: int) -> DataFrame:
@@ -267,9 +317,8 @@ def linked(cells: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(releasing(run), "a bigint, b bigint")
 
 
-def _of_groups(groups: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float, most_in_part: int) -> DataFrame:
-    """(h, root) of the texts that similar pairs connect to others within each group (h, root); sizes are (h, n)."""
-    sized = checkpoint(groups.join(sizes, "h"))
+def _of_groups(sized: DataFrame, sets: DataFrame, similarity: float, most_in_part: int) -> DataFrame:
+    """(h, root) of the texts that similar pairs connect to others within each group (h, root, n), n being a set's size."""
     totals = splittable(sized.groupBy("root").agg(F.count("*").alias("c"), F.ceil(F.sum("n") / most_in_part).cast("int").alias("parts")), "root")
     placed = checkpoint(sized.join(totals, "root").withColumn("p", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")))
     large = placed.where("parts > 1")
@@ -301,31 +350,46 @@ def _of_groups(groups: DataFrame, sizes: DataFrame, sets: DataFrame, similarity:
 
 def links(hashed: DataFrame, size: int, similarity: float, most_in_key: int = MOST_IN_KEY, most_in_part: int = MOST_IN_PART, sample: int = SAMPLE) -> DataFrame:
     """(h, root) of the hashes of texts that links of at least the given similarity connect to others."""
-    shipped = hashed.sparkSession.sparkContext.broadcast(frequent_shingles(hashed, size, sample))
+    spark = hashed.sparkSession
+    shipped = spark.sparkContext.broadcast(sampled(hashed, size, sample))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, counts, words = shipped.value
         for batch in batches:
-            found = [(h, len(s), parities(s), *prefix(s, *shipped.value, similarity)) for h, s in _sets(batch, size)]
+            found = []
+            for h, x in zip(batch.column(0).to_numpy().tolist(), batch.column(1), strict=True):
+                s, weights = weighed(x.as_buffer().to_pybytes(), size, words)
+                found.append((h, len(s), parities(s), *prefix(s, weights, often, counts, similarity)))
             if found:
                 h, n, bits, keys, common = zip(*found, strict=True)
                 columns = [pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), _lists(list(keys)), _lists(list(common))]
                 yield pa.RecordBatch.from_arrays(columns, names=["h", "n", "bits", "keys", "common"])
 
     made = hashed.mapInArrow(releasing(prefixes), "h bigint, n int, bits binary, keys array<bigint>, common array<bigint>")
-    listed = checkpoint(made.groupBy("h").agg(*(F.first(c).alias(c) for c in ("n", "bits", "keys", "common"))))
+    path = scratch(spark, "listed")
+    made.groupBy("h").agg(*(F.first(c).alias(c) for c in ("n", "bits", "keys", "common"))).write.parquet(path)
+    listed = spark.read.parquet(path)
     dealt = listed.select(F.explode("keys").alias("key"), "h").repartition("key").sortWithinPartitions("key", "h")
-    members = checkpoint(dealt.mapInArrow(releasing(lambda batches: memberships(batches, most_in_key)), "who bigint, h bigint, least bigint").distinct())
+    shared = dealt.mapInArrow(releasing(lambda batches: memberships(batches, most_in_key)), "who bigint, h bigint, least bigint")
+    members = checkpoint(shared.groupBy("who", "h", "least").agg(F.count("*").alias("c")))
+    # Common shingles may all be shared.
+    met = listed.select("h", "n", "bits", "common").join(members.groupBy("h").agg(F.sum("c").alias("c")), "h", "left")
+    left = checkpoint(met.where(F.coalesce("c", F.lit(0)) + F.size("common") >= least_shared(F.col("n"), similarity)).select("h", "n", "bits", "common"))
+    discard(spark, path)
+    members = checkpoint(members.join(left.select("h"), "h", "left_semi").select("who", "h", "least"))
     # A key that the sample shows to be common may be held by a large share of all texts: it is counted before its
     # texts meet, so that they can be dealt to many tasks.
-    often = listed.select("h", F.explode("common").alias("key"))
+    often = left.select("h", F.explode("common").alias("key"))
     least = splittable(often.groupBy("key").agg(F.min("h").alias("least"), F.count("*").alias("c")).where("c > 1"), "key")
     stars = often.join(least, "key").select("h", "least").unionByName(members.where("who is null").select("h", "least"))
-    compared = members.where("who is not null").select("who", "h").join(listed.select("h", "n", "bits"), "h").select("who", "h", "n", "bits")
+    compared = widest(members.where("who is not null").select("who", "h")).join(left.select("h", "n", "bits"), "h").select("who", "h", "n", "bits")
     compared = compared.repartition("who").sortWithinPartitions("who")
     likely = compared.mapInArrow(releasing(lambda batches: may_be_alike(batches, similarity)), "a bigint, b bigint")
     edges = likely.unionByName(stars.where("h <> least").select(F.col("h").alias("a"), F.col("least").alias("b"))).distinct()
     groups = components(edges).select(F.col("node").alias("h"), "root")
-    return _of_groups(groups, listed.select("h", "n"), picked(hashed, groups.select("h"), size), similarity, most_in_part)
+    # The common texts of a key start from its least text, which may be like no other.
+    sized = checkpoint(groups.join(left.select("h", "n"), "h"))
+    return _of_groups(sized, picked(hashed, groups.select("h"), size), similarity, most_in_part)
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
@@ -337,7 +401,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_
     whatever their names, play no part; an empty table gives no rows.
     """
     hashed = _hashed(docs, doc_id, text)
-    roots = links(hashed, size, similarity, **limits)
+    with tidy(docs.sparkSession):
+        roots = links(hashed, size, similarity, **limits)
     rows = texts(docs, doc_id, text=text).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
     least = rows.groupBy("text_hash").agg(F.min("doc_id").alias("least"))
     placed = least.join(roots.select(F.col("h").alias("text_hash"), "root"), "text_hash", "left").select("text_hash", "least", F.coalesce("root", "text_hash").alias("root"))

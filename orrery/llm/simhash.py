@@ -32,13 +32,12 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 AT_ONCE = 1 << 15
 
 
-def fingerprint(text: bytes, size: int = SHINGLE) -> int:
-    """SimHash of a UTF-8 text: a bit is set where more than half the shingles' XXH64 have it."""
+def digests(words: list[bytes], size: int) -> np.ndarray:
+    """Unsigned XXH64 of the runs of ``size`` words, in their order and with repeats; fewer words, but not none, are one run."""
     import xxhash
 
-    words = text.translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -46,13 +45,23 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     n = max(1, len(words) - size + 1)
     digest = xxhash.xxh64_intdigest
     last = ends[size - 1 :] if len(words) >= size else ends[-1:]
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set where more than half the hashes have it."""
+    n = len(hashes)
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, AT_ONCE):
         counts += np.unpackbits(hashes[at : at + AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    """SimHash of a UTF-8 text: a bit is set where more than half the shingles' XXH64 have it."""
+    return majority(digests(text.translate(LOWER).split(), size))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash and fp (the fingerprint as a signed 64-bit integer) of every row."""
 

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orrery.llm import alike, common
@@ -139,3 +140,57 @@ def test_parities_never_rule_out_what_is_alike():
     far = [alike.parities(np.array([dice.randrange(-(2**62), 2**62) for _ in range(n)])) for n in (300, 300, 3000, 3000)]
     batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 2, 2]), pa.array([1, 2, 3, 4]), pa.array([300, 300, 3000, 3000], pa.int32()), pa.array(far, pa.binary())], names=["who", "h", "n", "bits"])
     assert not list(alike.may_be_alike(iter([batch]), 0.8))
+
+
+def shuffled(spark):
+    """Bytes that this application has shuffled so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+def test_shared_passages_ship_no_parities(spark):
+    """Long texts that only share passages: their parities went with each shared key before."""
+    dice = random.Random(8)
+    word = lambda: "".join(dice.choices("abcdefghijklmnop", k=6))
+    passages = [" ".join(word() for _ in range(20)) for _ in range(40)]
+    texts = [" ".join(x for p in dice.sample(passages, 30) for x in [*(word() for _ in range(80)), p]) for _ in range(150)]
+    copy = texts[7].split()
+    copy[5::100] = [word() for _ in copy[5::100]]
+    rows = list(enumerate([*texts, " ".join(copy)]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    before = shuffled(spark)
+    found = {r.doc_id: r.component_id for r in alike.similar_groups(docs, sample=5).collect()}
+    assert shuffled(spark) - before < 1.25 * sum(len(t) for _, t in rows)
+    assert found == {k: 7 if k == 150 else k for k, _ in rows}
+
+
+def test_widest_groups_hold_every_pair(spark):
+    dice = random.Random(9)
+    groups = [sorted(dice.sample(range(12), dice.choice((1, 2, 3, 4, 6)))) for _ in range(60)]
+    groups += [groups[0], groups[1], list(range(20, 26)), [20, 21], [21, 22, 23], [20, 21]]
+    members = spark.createDataFrame([(who, h) for who, g in enumerate(groups) for h in g], "who bigint, h bigint")
+    left = {}
+    for r in alike.widest(members).collect():
+        left.setdefault(r.who, []).append(r.h)
+    assert all(sorted(hs) == groups[who] for who, hs in left.items())
+    pairs = lambda found: {(a, b) for g in found for a in g for b in g if a < b}
+    assert pairs(left.values()) == pairs(groups) and len(left) < len(groups) - 5
+    assert [sorted(g) for g in left.values() if min(g) >= 20] == [list(range(20, 26))]
+
+
+def test_prefixes_share_as_many_as_asked(spark):
+    """Sets at and above the similarity, in an order by weights: each shares what least_shared asks for with the other."""
+    dice = random.Random(10)
+    none, sizes, shared = np.zeros(0, np.int64), [], []
+    for n in [*range(1, 60), 99, 100, 101, 399, 400, 1000]:
+        for drop in {0, n // 20, n // 10, n // 9, n // 5}:
+            a = [dice.randrange(2**62) for _ in range(n)]
+            for b in (a[drop:], a[drop // 2 :] + [dice.randrange(2**62) for _ in range(drop // 2)]):
+                if len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.8:
+                    kept = [alike.prefix(k := np.array(sorted(x), np.int64), k % 7, none, none, 0.8)[0] for x in (a, b)]
+                    sizes.append((len(a), len(b)))
+                    shared.append(len(np.intersect1d(*kept)))
+    asked = [r[:] for r in spark.createDataFrame(sizes, "a int, b int").select(alike.least_shared(F.col("a"), 0.8), alike.least_shared(F.col("b"), 0.8)).collect()]
+    assert len(shared) > 200 and all(n >= max(need) for n, need in zip(shared, asked, strict=True))
+    assert max(max(need) for need in asked) > 30
