@@ -32,6 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more on five words: the one with the least doc_id.
 
+    SimHash fingerprints of five words meet through pigeonhole blocks; pairs as similar that differ in more bits than
+    those find come from prefixes of their sets, and every link is computed exactly.
     Ties go by the hashes of the text and of the row; null, empty and blank texts are one group.
     """
     return keep_one(docs, similar_groups(docs, size=5, similarity=0.8))

@@ -1,4 +1,8 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: pigeonhole prefixes, Hamming filter, exact check.
+"""Near-duplicates by SimHash and exact Jaccard similarity of word shingles.
+
+SimHash fingerprints of the shingles meet through pigeonhole blocks and are linked within four bits, as in
+``simhash``. Texts that this links are candidates. Pairs of the similarity asked for may differ in more bits than
+blocks can find (5 to 13 are common at 0.8), so the pigeonhole principle is applied to the sets too:
 
 Two sets of at least similarity t share one of the first n - ceil(t n) + 1 shingles of each, in any order
 that all sets keep. Each text is listed under these; the order puts shingles that a sample shows to be
@@ -24,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm import simhash
 from orrery.llm.common import checkpoint, distinct, list_parts, ragged_gather, releasing, runs, texts
 from orrery.llm.components import components, splittable
-from orrery.llm.simhash import LOWER, SEED, digests
+from orrery.llm.simhash import LOWER, SEED, digests, majority
 from orrery.session import discard, scratch, tidy
 
 #: Texts under one key that are compared in memory, and shingles of a part of a group.
@@ -34,7 +39,7 @@ MOST_IN_KEY, MOST_IN_PART = 2048, 2 << 20
 #: Of about so many texts, shingles that so many hold are put last; of these, the most frequent at most.
 SAMPLE, FREQUENT, MOST_FREQUENT = 5_000, 3, 1 << 19
 #: Of their words, those that occur so often count as frequent; of these, the most frequent at most, if no longer than so many bytes.
-FREQUENT_WORD, MOST_WORDS, LONGEST_WORD = 8, 1 << 16, 64
+FREQUENT_WORD, MOST_WORDS, LONGEST_WORD = 8, 1 << 14, 64
 #: Bits of the filter of texts whose sets are needed, of one of the bitmaps that make it, and a set's parities for each of its shingles, at least.
 FILTER_BITS, BITMAP_BITS, PARITIES = 1 << 26, 1 << 15, 4
 #: Further shingles of a prefix, as a share of the set: so many must be shared too.
@@ -48,22 +53,23 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     return weighed(text, size, {})[0]
 
 
-def weighed(text: bytes, size: int, words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """``shingles``, and the weight of each: the sum of its words'."""
+def weighed(text: bytes, size: int, words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``shingles``, the weight of each (the sum of its words'), and the hashes that make the SimHash: unsigned, with repeats."""
     import xxhash
 
     found = text.translate(LOWER).split()
     if not found:
-        return np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64).view(np.int64), np.zeros(1, np.int64)
-    keys = digests(found, size).view(np.int64)
+        return np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64).view(np.int64), np.zeros(1, np.int64), digests(found, size)
+    hashes = digests(found, size)
+    keys = hashes.view(np.int64)
     if not words:
         keys = distinct(keys)
-        return keys, np.zeros(len(keys), np.int64)
+        return keys, np.zeros(len(keys), np.int64), hashes
     total = np.zeros(len(found) + 1, np.int64)
     np.cumsum(np.fromiter((words.get(w, 0) for w in found), np.int64, len(found)), out=total[1:])
     keys, first = np.unique(keys, return_index=True)
     # The weight depends on the shingle alone, so all sets keep the same order.
-    return keys, (total[size:] - total[:-size] if len(found) >= size else total[-1:])[first]
+    return keys, (total[size:] - total[:-size] if len(found) >= size else total[-1:])[first], hashes
 
 
 def prefix(keys: np.ndarray, weights: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -196,6 +202,16 @@ def may_be_alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(h[a]), pa.array(h[b])], names=["a", "b"])
 
 
+def by_fingerprint(listed: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect just those texts (h, fp) whose fingerprints SimHash connects."""
+    fps = checkpoint(listed.groupBy("fp").agg(F.min("h").alias("least"), F.count("*").alias("c")))
+    found = simhash.links(fps.select("fp"))
+    for end in ("a", "b"):
+        found = found.join(fps.select(F.col("fp").alias(end), F.col("least").alias(f"of_{end}")), end)
+    same = listed.join(splittable(fps.where("c > 1").select("fp", "least"), "fp"), "fp").where("h <> least")
+    return found.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).unionByName(same.select(F.col("h").alias("a"), F.col("least").alias("b")))
+
+
 def widest(members: DataFrame) -> DataFrame:
     """Members (who, h) of the groups of two or more that aren't part of another: of that one alone which most of a group's members have as their largest."""
     sized = members.groupBy("who").agg(F.count("*").alias("m")).where("m > 1")
@@ -358,17 +374,18 @@ def links(hashed: DataFrame, size: int, similarity: float, most_in_key: int = MO
         for batch in batches:
             found = []
             for h, x in zip(batch.column(0).to_numpy().tolist(), batch.column(1), strict=True):
-                s, weights = weighed(x.as_buffer().to_pybytes(), size, words)
-                found.append((h, len(s), parities(s), *prefix(s, weights, often, counts, similarity)))
+                s, weights, hashes = weighed(x.as_buffer().to_pybytes(), size, words)
+                found.append((h, majority(hashes), len(s), parities(s), *prefix(s, weights, often, counts, similarity)))
             if found:
-                h, n, bits, keys, common = zip(*found, strict=True)
-                columns = [pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), _lists(list(keys)), _lists(list(common))]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "n", "bits", "keys", "common"])
+                h, fps, n, bits, keys, common = zip(*found, strict=True)
+                columns = [pa.array(h, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), _lists(list(keys)), _lists(list(common))]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "fp", "n", "bits", "keys", "common"])
 
-    made = hashed.mapInArrow(releasing(prefixes), "h bigint, n int, bits binary, keys array<bigint>, common array<bigint>")
+    made = hashed.mapInArrow(releasing(prefixes), "h bigint, fp bigint, n int, bits binary, keys array<bigint>, common array<bigint>")
     path = scratch(spark, "listed")
-    made.groupBy("h").agg(*(F.first(c).alias(c) for c in ("n", "bits", "keys", "common"))).write.parquet(path)
+    made.groupBy("h").agg(*(F.first(c).alias(c) for c in ("fp", "n", "bits", "keys", "common"))).write.parquet(path)
     listed = spark.read.parquet(path)
+    near = checkpoint(by_fingerprint(listed.select("h", "fp")))
     dealt = listed.select(F.explode("keys").alias("key"), "h").repartition("key").sortWithinPartitions("key", "h")
     shared = dealt.mapInArrow(releasing(lambda batches: memberships(batches, most_in_key)), "who bigint, h bigint, least bigint")
     members = checkpoint(shared.groupBy("who", "h", "least").agg(F.count("*").alias("c")))
@@ -385,9 +402,9 @@ def links(hashed: DataFrame, size: int, similarity: float, most_in_key: int = MO
     compared = widest(members.where("who is not null").select("who", "h")).join(left.select("h", "n", "bits"), "h").select("who", "h", "n", "bits")
     compared = compared.repartition("who").sortWithinPartitions("who")
     likely = compared.mapInArrow(releasing(lambda batches: may_be_alike(batches, similarity)), "a bigint, b bigint")
-    edges = likely.unionByName(stars.where("h <> least").select(F.col("h").alias("a"), F.col("least").alias("b"))).distinct()
+    edges = near.unionByName(likely).unionByName(stars.where("h <> least").select(F.col("h").alias("a"), F.col("least").alias("b"))).distinct()
     groups = components(edges).select(F.col("node").alias("h"), "root")
-    # The common texts of a key start from its least text, which may be like no other.
+    # Stars start from the least text of a key, and fingerprints link any texts: they may be like no other.
     sized = checkpoint(groups.join(left.select("h", "n"), "h"))
     return _of_groups(sized, picked(hashed, groups.select("h"), size), similarity, most_in_part)
 

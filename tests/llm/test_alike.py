@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orrery.llm import alike, common
+from orrery.llm import alike, common, components, simhash
 from orrery.llm.simhash import keep_one
 
 
@@ -194,3 +194,27 @@ def test_prefixes_share_as_many_as_asked(spark):
     asked = [r[:] for r in spark.createDataFrame(sizes, "a int, b int").select(alike.least_shared(F.col("a"), 0.8), alike.least_shared(F.col("b"), 0.8)).collect()]
     assert len(shared) > 200 and all(n >= max(need) for n, need in zip(shared, asked, strict=True))
     assert max(max(need) for need in asked) > 30
+
+
+def test_stage_goes_through_simhash(spark, rows, monkeypatch):
+    """All texts' fingerprints of five words go through the operator's blocks and distances."""
+    seen, whole = [], simhash.links
+
+    def spied(fps, *args):
+        seen.append(sorted(r.fp for r in fps.collect()))
+        return whole(fps, *args)
+
+    monkeypatch.setattr(simhash, "links", spied)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = corpus_pipeline.near_duplicate(spark, docs, "")
+    want = {simhash.fingerprint((t or "").encode(), 5) for _, t in rows}
+    assert seen == [sorted(np.array(sorted(want), np.uint64).view(np.int64).tolist())]
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
+
+
+def test_fingerprints_connect_texts(spark):
+    """Texts within four bits, step by step, are one component."""
+    fps = {10: 0, 11: 0b111, 12: 0b1111111, 13: -(1 << 63), 14: 0b11 << 40, 15: 0b11 << 40, 16: -1, 17: ~(0b1111 << 30), 18: 0x5555555555555555}
+    near = alike.by_fingerprint(spark.createDataFrame(list(fps.items()), "h bigint, fp bigint"))
+    found = sorted((r.node, r.root) for r in components.components(near).collect())
+    assert found == [(10, 10), (11, 10), (12, 10), (13, 10), (14, 10), (15, 10), (16, 16), (17, 16)]
